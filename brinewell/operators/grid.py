@@ -50,21 +50,14 @@ def to_grid(
     )
     carried = F.greatest(F.lit(0.0), (F.least(F.col("first_t"), F.col("prev_t") + hold) - F.col("cell") * size).cast("double"))
     carried = F.when(F.col("prev_t").isNotNull(), carried).otherwise(0.0)
-    measured = cells.select(
-        "source", "cell", "n",
-        ((F.col("area") + F.coalesce(F.col("prev_v"), F.lit(0.0)) * carried) / F.nullif(F.col("valid") + carried, F.lit(0.0))).alias("mean"),
-        F.col("last_v").alias("known"), (F.col("valid") + carried).alias("valid"),
+    spread = cells.select("*", carried.alias("carried"), F.posexplode(F.sequence("cell", F.coalesce(F.col("next_cell") - 1, F.col("cell")))).alias("pos", "at"))
+    hole, own = F.col("pos") > 0, F.col("valid") + F.col("carried")
+    held = F.greatest(F.lit(0.0), (F.least((F.col("at") + 1) * size, F.col("last_t") + hold) - F.col("at") * size).cast("double"))
+    mean = (F.col("area") + F.coalesce(F.col("prev_v"), F.lit(0.0)) * F.col("carried")) / F.nullif(own, F.lit(0.0))
+    every = spread.select(
+        "source", F.col("at").alias("cell"), F.when(hole, 0).otherwise(F.col("n")).cast("bigint").alias("n"), F.when(~hole, mean).alias("mean"),
+        F.col("last_v").alias("known"), F.when(hole, held).otherwise(own).alias("valid"),
     )
-    holes = (
-        cells.where(F.col("next_cell") > F.col("cell") + 1)
-        .withColumn("hole", F.explode(F.sequence(F.col("cell") + 1, F.col("next_cell") - 1)))
-        .select(
-            "source", F.col("hole").alias("cell"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("mean"),
-            F.col("last_v").alias("known"),
-            F.greatest(F.lit(0.0), (F.least((F.col("hole") + 1) * size, F.col("last_t") + hold) - F.col("hole") * size).cast("double")).alias("valid"),
-        )
-    )
-    every = measured.unionByName(holes)
     return every.select(
         "source", (F.col("cell") * cell_s).alias("cell_epoch_s"), F.col("n").alias("n_readings"),
         F.coalesce("mean", "known").alias("value"), (F.col("valid") / size).alias("coverage"),

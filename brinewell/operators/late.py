@@ -157,10 +157,10 @@ def _worked(rows: DataFrame, emit: str, schema: str, period_ns: int, cutoff_ns:
     by_key = Window.partitionBy("origin", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     clocks = rows.groupBy("origin", "key", "block").agg(F.max("t").alias("t")).withColumn("t", F.max("t").over(by_key)).where("t is not null")
     markers = clocks.select(
-        "origin", "key", F.lit(None).cast("bigint").alias("row_id"), F.lit(-1).alias("bet_pos"), "t", F.lit(None).cast("double").alias("value"), "block"
+        "origin", "key", F.lit(0).cast("bigint").alias("row_id"), F.lit(-1).alias("bet_pos"), "t", F.lit(None).cast("double").alias("value"), "block"
     )
     both = rows.withColumn("marker", F.lit(False)).unionByName(markers.withColumn("marker", F.lit(True)))
-    order = ("origin", "key", "block", F.col("row_id").asc_nulls_first(), "bet_pos")
+    order = ("origin", "key", "block", F.col("marker").desc(), "row_id", "bet_pos")
     ready = both.repartition("origin", "key", "block").sortWithinPartitions(*order)
     return ready.mapInArrow(_worker(period_ns, cutoff_ns, emit), schema)
 
