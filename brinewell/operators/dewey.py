@@ -33,7 +33,7 @@ def whole_json(text: str | None):
     if not text:
         return None
     try:
-        return json.loads(text.removeprefix("﻿"))
+        return json.loads(text.removeprefix(chr(0xFEFF)))
     except (ValueError, RecursionError):
         return None
 
