@@ -27,30 +27,50 @@ METHOD_WORDS = frozenset(
 
 _CAP = "(?:[A-Z\u00c0-\u00d6\u00d8-\u00de\u0100-\u017f][a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f]+(?:['\u2019][A-Z]?[a-z\u00df-\u00ff]+)?|[A-Z\u00c0-\u00d6\u00d8-\u00de]{2,})"
 _SUR = f"{_CAP}(?:-{_CAP})?"
-_NOT_IN_WORD = r"(?<![\w@.+/\\-])"
-EMAIL = re.compile(
-    r"(?<![\w.+@-])[\w][\w.+-]{0,80}(?:@[\w-]+(?:\.[\w-]+)+"
-    r"| ?(?:\(at\)|\[at\]|\{at\}|<at>) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}|<dot>) ?[\w-]+)+| at [\w-]+(?: dot [\w-]+)+)",
-    re.I,
-)
+_HEAD = "[A-Z\u00c0-\u00d6\u00d8-\u00de\u0100-\u017f]"
+_REST = "(?:[a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f]+(?:['\u2019][A-Z]?[a-z\u00df-\u00ff]+)?|[A-Z\u00c0-\u00d6\u00d8-\u00de]+)"
+# Each pattern starts with a set of signs, which is what the search is quick at; what must not come before is asked behind it.
+_AT = re.compile(r"@|[(\[{<][Aa][Tt][)\]}>]| at [\w-]+ dot ")
+_LOCAL = re.compile(r"\w[\w.+-]{0,80} ?\Z")
+_HOST = re.compile(r"@[\w-]+(?:\.[\w-]+)+|[(\[{<]at[)\]}>] ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}|<dot>) ?[\w-]+)+| at [\w-]+(?: dot [\w-]+)+", re.I)
+_DIGITS = re.compile(r"[+(\d][\d ().+/-]{6,40}\d")
 PHONE = re.compile(
     r"(?<![\w.+/=\\-])(?:\+\d{1,3}(?:[ .-]?\(0\))?[ .-]?|\(\d{1,4}\) ?|00\d{1,2}[ -])?\d{1,11}(?:(?:[ .-]|(?<=\d)/)\d{2,8}){0,5}(?!\w|[.,-]?\d)"
 )
 IDENTITY = re.compile(
-    r"(?<![\w.=\\-])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{9}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]\d{3}[A-Z]\d{4}|\d{8}-?[A-Z])(?!\w|[.-]?\d)"
+    r"[\dA-Z](?<![\w.=\\-].)(?:(?<=\d)(?:\d\d-\d\d-\d{4}|\d\d \d\d \d{4}|\d{8}|\d{7}-?[A-Z])|(?<=[A-Z])(?:[A-Z] ?\d\d ?\d\d ?\d\d ?[A-Z]|\d{3}[A-Z]\d{4}))"
+    r"(?!\w|[.-]?\d)"
 )
 _UNIT = r"(?:Flat|Apt|Apartment|Unit|Suite)\.? \d{0,4}[A-Za-z]?"
-_ROADS = "Street|Avenue|Road|Lane|Close|Boulevard|Drive|Court|Place|Square|Way|Terrace|Crescent|Grove|Gardens|Row|St|Ave|Rd|Ln|Blvd|Dr|Ct|Pl"
-ADDRESS = re.compile(
-    rf"{_NOT_IN_WORD}(?:(?:{_UNIT}, )?\d{{1,5}}[a-z]?(?: [NSEW]\.)?(?: {_CAP}(?:-{_CAP})?){{1,3}} (?:{_ROADS})\b(?:, {_UNIT})?"
-    rf"|\d{{1,4}}(?: (?:bis|ter))?,? (?:rue|avenue|boulevard|place|all\u00e9e|impasse|chemin|quai|cours)(?: (?:de|du|des|la|le|les))*(?: {_CAP}(?:-{_CAP})*)+"
-    rf"|(?:Calle|Avenida|Plaza|Paseo|Camino|Via|Viale|Piazza|Rua)(?: (?:de|del|la|las|los|da|do))*(?: {_CAP}(?:-{_CAP})*)+,? \d{{1,4}}[a-z]?"
-    rf"|[A-Z\u00c4\u00d6\u00dc][\w\u00df]*(?:stra\u00dfe|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring) \d{{1,4}}[a-z]?)(?!\w)"
+_BEFORE = r"(?<![\w@.+/\\-].)"
+_CAPS = f"{_CAP}(?:-{_CAP})*"
+# Words that make a street, by where the number stands; a pattern is tried only where one of its words occurs.
+_ROADS = (
+    "Street Avenue Road Lane Close Boulevard Drive Court Place Square Way Terrace Crescent Grove Gardens Row St Ave Rd Ln Blvd Dr Ct Pl".split()
 )
+_RUES = "rue avenue boulevard place all\u00e9e impasse chemin quai cours".split()
+_CALLES = "Calle Avenida Plaza Paseo Camino Via Viale Piazza Rua".split()
+_WEGE = "stra\u00dfe strasse str. weg gasse platz allee ufer damm ring".split()
+ADDRESSES = (
+    (
+        [f" {w}" for w in _ROADS],
+        re.compile(
+            rf"[\dFAUS]{_BEFORE}(?:(?<=[FAUS])(?:(?<=F)lat|(?<=A)pt|(?<=A)partment|(?<=U)nit|(?<=S)uite)\.? \d{{0,4}}[A-Za-z]?, \d{{1,5}}|(?<=\d)\d{{0,4}})[a-z]?"
+            rf"(?: [NSEW]\.)?(?: {_CAP}(?:-{_CAP})?){{1,3}} (?:{'|'.join(_ROADS)})\b(?:, {_UNIT})?(?!\w)"
+        ),
+    ),
+    ([f"{w} " for w in _RUES], re.compile(rf"\d{_BEFORE}\d{{0,3}}(?: (?:bis|ter))?,? (?:{'|'.join(_RUES)})(?: (?:de|du|des|la|le|les))*(?: {_CAPS})+(?!\w)")),
+    ([f"{w} " for w in _CALLES], re.compile(rf"[ACPVR]{_BEFORE}(?:{'|'.join(f'(?<={w[0]}){w[1:]}' for w in _CALLES)})(?: (?:de|del|la|las|los|da|do))*(?: {_CAPS})+,? \d{{1,4}}[a-z]?(?!\w)")),
+    ([f"{w} " for w in _WEGE], re.compile(rf"{_HEAD}{_BEFORE}[\w\u00df]*(?:{'|'.join(map(re.escape, _WEGE))}) \d{{1,4}}[a-z]?(?!\w)")),
+)
 _DOTTED = re.compile(r"(?:St|Ave|Rd|Ln|Dr|Ct|Pl|Blvd)\Z")
-NAME = re.compile(rf"(?<![\w@.'\u2019-])(?=({_CAP} (?:[A-Z]\. )?{_SUR}|{_SUR}, {_CAP}(?: [A-Z]\.(?!\w))?)(?![\w@]))")
+NAME = re.compile(rf"{_HEAD}(?<![\w@.-].)(?<!\w['\u2019].)(?=({_REST} (?:[A-Z]\. )?{_SUR}|{_REST}(?:-{_CAP})?, {_CAP}(?: [A-Z]\.(?!\w))?)(?![\w@]))")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _BLOB = re.compile(r"[A-Za-z0-9+/]{100,}={0,2}")
+_PLAIN_WORDS = frozenset(
+    """the and by of in to from with for on at that this it is as or not a an all order group select where kept stays then than but if no die der das
+    el la le les un une und oder""".split()
+)
 _CUES = frozenset(
     """author by par asked contacto contact ansprechpartner name todo person of von de para from attn dear maintainer owner reviewer signed written signs thanks
     tel id dni home phone mail""".split()
@@ -97,35 +117,49 @@ def mentions(text: str) -> list[Mention]:
     def add(label: str, a: int, b: int, clues: list[str], keys: list[str]) -> None:
         out.append(Mention(label, a, b, tuple(f"{label}:{c}" for c in ["bias", *clues, *_around(plain, a, b)]), tuple(keys)))
 
-    if "@" in plain or "at" in plain:
-        for m in EMAIL.finditer(plain):
-            local = re.split(r"[@ (\[{<]", m[0], maxsplit=1)[0]
-            parts = [w for w in re.split(r"[^a-z]+", folded(local)) if len(w) > 3]
-            add("email", m.start(), m.end(), ["plain" if "@" in m[0] else "spelled", f"dots={min(m[0].count('.'), 2)}"], [*parts, folded(m[0])])
-    for m in PHONE.finditer(plain):
-        v = m[0]
-        digits = sum(c.isdigit() for c in v)
-        marks = re.findall(r"[ .\-/]", v)
-        if not 8 <= digits <= 15 or (len(marks) < 2 and v[0] not in "+(" and not (marks and v[0] == "0")) or re.match(r"\d{4}-\d\d-\d\d", v):
+    for m in _AT.finditer(plain):
+        host, local = _HOST.match(plain, m.start()), _LOCAL.search(plain, max(0, m.start() - 82), m.start())
+        if not host or not local or (local[0][-1] == " " and m[0] == "@"):
             continue
-        first = "plus" if v[0] == "+" else "bracket" if v[0] == "(" else "zeros" if v.startswith("00") else "zero" if v[0] == "0" else "digit"
-        groups = "-".join(str(len(g)) for g in re.findall(r"\d+", v))
-        add("phone", m.start(), m.end(), [first, f"{first}{digits}", f"groups={first}{groups}"], [re.sub(r"\D", "", v)[-8:]])
+        a, b = local.start(), host.end()
+        parts = [w for w in re.split(r"[^a-z]+", folded(local[0])) if len(w) > 3]
+        add("email", a, b, ["plain" if m[0] == "@" else "spelled", f"dots={min(host[0].count('.'), 2)}"], [*parts, folded(plain[a:b])])
+    for run in _DIGITS.finditer(plain):
+        if run[0].count(".") == 1 and not re.search(r"[ (+/-]", run[0]):
+            continue  # a decimal number
+        for m in PHONE.finditer(plain, run.start(), run.end()):
+            v = m[0]
+            digits = sum(c.isdigit() for c in v)
+            marks = re.findall(r"[ .\-/]", v)
+            if not 8 <= digits <= 15 or re.match(r"(?:19|20)\d\d-\d\d-\d\d", v) or re.match(r"\w", plain[m.end() : m.end() + 1]):
+                continue
+            if len(marks) < 2 and v[0] not in "+(" and not (v[0] == "0" and marks and marks[0] != "."):
+                continue
+            first = "plus" if v[0] == "+" else "bracket" if v[0] == "(" else "zeros" if v.startswith("00") else "zero" if v[0] == "0" else "digit"
+            groups = "-".join(str(len(g)) for g in re.findall(r"\d+", v))
+            add("phone", m.start(), m.end(), [first, f"{first}{digits}", f"groups={first}{groups}"], [re.sub(r"\D", "", v)[-8:]])
     for m in IDENTITY.finditer(plain):
         add("identity", m.start(), m.end(), [f"shape={_shape(m[0].replace(' ', '_'))}"], [re.sub(r"\W", "", m[0])])
-    for m in ADDRESS.finditer(plain):
-        end, v = m.end(), m[0]
-        if _DOTTED.search(v) and plain[end : end + 1] == ".":
-            after = plain[end + 1 : end + 3]
-            closes = not after or after[0] in "\n\r\"'\\" or (after[0] == " " and after[1:2] in "\n\r" or (after[0] == " " and after[1:2].isupper()))
-            if not closes or (not v.endswith("Blvd") and not (after[:1] == " " and after[1:2].isupper())):
-                end += 1
-        kind = "number first" if v[0].isdigit() or v.startswith(("Flat", "Apt", "Unit", "Suite")) else "street first"
-        add("address", m.start(), end, [kind], [folded(text[m.start() : end])])
+    for gates, pattern in ADDRESSES:
+        if not any(g in plain for g in gates):
+            continue
+        for m in pattern.finditer(plain):
+            end, v = m.end(), m[0]
+            if _DOTTED.search(v) and plain[end : end + 1] == ".":
+                # The dot is the abbreviation's unless a sentence ends with it.
+                after = plain[end + 1 : end + 3]
+                sentence = after[:1] == " " and after[1:2].isupper()
+                ends = not after.strip() or after[0] in "\n\r\"'\\"
+                if not sentence and not (ends and v.endswith("Blvd")):
+                    end += 1
+            kind = "number first" if v[0].isdigit() or v.startswith(("Flat", "Apt", "Unit", "Suite")) else "street first"
+            add("address", m.start(), end, [kind], [folded(text[m.start() : end])])
     for m in NAME.finditer(plain):
-        v = m[1]
+        a, b = m.start(), m.end(1)
+        v = plain[a:b]
         words = [folded(w) for w in re.split(r"[ ,\-]+", v) if len(w) > 2 or (len(w) == 2 and w[1] != ".")]
-        a, b = m.start(1), m.end(1)
+        if not words:
+            continue
         comma = "," in v
         given = words[-1] if comma else words[0]
         known, inverse = given in GIVEN, (words[0] if comma else words[-1]) in GIVEN
@@ -137,6 +171,8 @@ def mentions(text: str) -> list[Mention]:
         clues += ["caps"] * v.isupper() + ["method"] * bool(METHOD_WORDS & set(words)) + [f"cued={cued},known={known}"]
         if words[0] in _CUES and not comma:
             clues.append("starts with a cue")
+        if _PLAIN_WORDS & set(words):
+            clues.append("has a plain word")
         add("name", a, b, clues, [w for w in words if w != given and len(w) > 3] or words)
     out.sort(key=lambda c: (c.start, -c.end))
     return out

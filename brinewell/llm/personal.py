@@ -56,6 +56,11 @@ Naive Bayes beats Kernel Ridge on this split.
 Markov Chain and Support Vector models were dropped.
 Monte Carlo with 310 Oak splits; Fourier Transform on lane 7.
 Die Tabelle zeigt die Werte. Erste Auswertung folgt.
+GROUP BY 1 ORDER BY n DESC
+WRITTEN BY THE LANE, NAME THE HERON THAT STAYS
+THE QUAY IS KEPT FOR LUCK, BECAUSE THE OAR
+SELECT {d1} FROM STORE WHERE QTY > {d2}
+Call The Model. From This Table By Any Name.
 Fields are masked as <EMAIL> and <PHONE> upstream.
 batch = '555-{d4}-{d2}'  # not dialled
 order {d9}-{d2} shipped

@@ -5,10 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinewell.functions.instants import instant_columns
+from brinewell.llm import nearest as near
 from brinewell.llm.encode import encode_texts
 from brinewell.llm.leaks import find_leaks
+from brinewell.llm.personal import find_personal, mask_personal
 from brinewell.sources.tables import table
 
+TOLERANCE_NS = 600_000_000_000
+
+
+def _polls(spark: SparkSession, d: str) -> DataFrame:
+    """Every poll with a readable time of a confirmed match: its id, its instant and the matched market."""
+    polls = instant_columns(table(spark, d, "cross_source_snapshots"), "polled_at", "instant").where("instant is not null")
+    matches = table(spark, d, "market_matches").where("status = 'confirmed'").select("external_market_id", "manifold_market_id").distinct()
+    joined = polls.join(matches, polls["market_id"] == matches["external_market_id"])
+    return near.records(joined, F.col("manifold_market_id"), F.col("instant"), F.col("id"))
+
+
+def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with their distance in time."""
+    polls, parts = _polls(spark, d), []
+    for origin in ("probability_snapshots", "feature_snapshots"):
+        readings = near.records(table(spark, d, origin), F.col("market_id"), F.col("ts_ns"), F.col("id"))
+        pairs = near.nearest(polls, readings, TOLERANCE_NS)
+        parts.append(pairs.select(F.col("left_id").alias("cross_id"), F.col("right_id").alias("snapshot_id"), F.lit(origin).alias("origin"), "distance_ns"))
+    return parts[0].unionByName(parts[1])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_nearest(spark, d).drop("distance_ns")
+
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text")
@@ -23,5 +50,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with placeholders for what p10_found finds."""
+    return mask_personal(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p6_found": p6_found, "p6_nearest": p6_nearest, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
+    "p10_masked": p10_masked,
+}
 SQL: dict[str, str] = {}
