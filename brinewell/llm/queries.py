@@ -9,12 +9,28 @@ from brinewell.functions.instants import instant_columns
 from brinewell.llm import nearest as near
 from brinewell.llm.encode import encode_texts
 from brinewell.llm.leaks import find_leaks
+from brinewell.llm.linkage import link, read_questions
 from brinewell.llm.personal import find_personal, mask_personal
 from brinewell.sources.tables import table
 
 TOLERANCE_NS = 600_000_000_000
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with the confidence of each, in thousandths."""
+    c = F.col
+    own = instant_columns(table(spark, d, "markets"), "close_time", "instant")
+    other = instant_columns(table(spark, d, "polymarket_markets").select("conditionId", "question", "endDate").distinct(), "endDate", "instant")
+    pairs = link(
+        read_questions(other, c("conditionId"), c("question"), c("instant")), read_questions(own, c("market_id"), c("question_text"), c("instant"))
+    )
+    return pairs.select(c("left_key").alias("condition_id"), c("right_key").alias("market_id"), F.floor(c("confidence") * 1000).cast("int").alias("confidence_e3"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_links(spark, d).select("condition_id", "market_id")
+
+
 def _polls(spark: SparkSession, d: str) -> DataFrame:
     """Every poll with a readable time of a confirmed match: its id, its instant and the matched market."""
     polls = instant_columns(table(spark, d, "cross_source_snapshots"), "polled_at", "instant").where("instant is not null")
@@ -60,7 +76,7 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p6_found": p6_found, "p6_nearest": p6_nearest, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
+    "p1_found": p1_found, "p1_links": p1_links, "p6_found": p6_found, "p6_nearest": p6_nearest, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
     "p10_masked": p10_masked,
 }
 SQL: dict[str, str] = {}
