@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLOT_NS = 3_600_000_000_000
-PAIRS = "left_id bigint, right_id bigint, distance_ns bigint, right_time bigint"
+PAIRS = "left_id bigint, kind string, right_id bigint, distance_ns bigint, right_time bigint"
 
 
 def _work(tolerance: int):
@@ -33,24 +33,24 @@ def _work(tolerance: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, before = None, None  # the slot, and the first record of the latest right time
         waiting: list[tuple[int, int, tuple[int, int] | None]] = []  # left: time, id, record before
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, str, int, int, int]] = []
 
         def settle(behind: tuple[int, int] | None) -> None:
             for t, i, a in waiting:
                 r = better(t, a, behind)
                 if r is not None and abs(r[0] - t) <= tolerance:
-                    out.append((i, r[1], abs(r[0] - t), r[0]))
+                    out.append((i, at[1], r[1], abs(r[0] - t), r[0]))
             waiting.clear()
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("entity", "slot", "t", "is_left", "id")]
-            for entity, slot, t, is_left, i in zip(*columns):
-                if (entity, slot) != at:
+            columns = [batch.column(c).to_pylist() for c in ("entity", "kind", "slot", "t", "is_left", "id")]
+            for entity, kind, slot, t, is_left, i in zip(*columns):
+                if at is None or slot != at[2] or entity != at[0] or kind != at[1]:
                     settle(None)
-                    at, before = (entity, slot), None
+                    at, before = (entity, kind, slot), None
                 if is_left:
                     if before is not None and before[0] == t:
-                        out.append((i, before[1], 0, t))
+                        out.append((i, kind, before[1], 0, t))
                         continue
                     if waiting and t - waiting[0][0] > tolerance:
                         late = [w for w in waiting if t - w[0] <= tolerance]
@@ -71,26 +71,29 @@ def _work(tolerance: int):
     return merge
 
 
-def _packed(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    names = [x.split()[0] for x in PAIRS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+def _packed(rows: list[tuple[int, str, int, int, int]]) -> pa.RecordBatch:
+    fields = [x.split() for x in PAIRS.split(", ")]
+    arrays = [pa.array(c, pa.string() if t == "string" else pa.int64()) for c, (_, t) in zip(zip(*rows), fields)]
+    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
 
-def records(df: DataFrame, entity: Column, time_ns: Column, row_id: Column) -> DataFrame:
-    out = df.select(entity.cast("string").alias("entity"), time_ns.cast("bigint").alias("t"), row_id.cast("bigint").alias("id"))
+def records(df: DataFrame, entity: Column, time_ns: Column, row_id: Column, kind: str = "") -> DataFrame:
+    """df in the form that nearest() reads; kind names the table where several are searched at once."""
+    out = df.select(entity.cast("string").alias("entity"), F.lit(kind).alias("kind"), time_ns.cast("bigint").alias("t"), row_id.cast("bigint").alias("id"))
     return out.where("entity is not null and t is not null and id is not null")
 
 
-def nearest(left: DataFrame, right: DataFrame, tolerance_ns: int, slot_ns: int = SLOT_NS) -> DataFrame:
-    """left_id, right_id and distance_ns of each pair; left and right as records() gives them."""
+def nearest(left: DataFrame, right: DataFrame, tolerance_ns: int, kinds: tuple[str, ...] = ("",), slot_ns: int = SLOT_NS) -> DataFrame:
+    """left_id, kind, right_id and distance_ns of each pair; left and right as records() gives them.
+
+    A left record is paired with one right record of each of kinds; all of them are searched in one shuffle.
+    """
     slot_ns = max(slot_ns, 2 * tolerance_ns)
     slot = lambda shift: F.expr(f"(t + {shift} - pmod(t + {shift}, {slot_ns})) div {slot_ns}")
     reach = F.array_distinct(F.array(slot(-tolerance_ns), slot(tolerance_ns)))
-    lefts = left.withColumn("slot", F.explode(reach)).withColumn("is_left", F.lit(True))
-    # Right records of slots that no left record reaches are sorted out before they are shuffled with it.
-    wanted = lefts.select("entity", "slot").distinct()
-    rights = right.withColumn("slot", slot(0)).join(wanted, ["entity", "slot"], "left_semi").withColumn("is_left", F.lit(False))
-    both = lefts.unionByName(rights).repartition("entity", "slot").sortWithinPartitions("entity", "slot", "t", "is_left", "id")
+    lefts = left.withColumn("kind", F.explode(F.array(*map(F.lit, kinds)))).withColumn("slot", F.explode(reach)).withColumn("is_left", F.lit(True))
+    rights = right.withColumn("slot", slot(0)).withColumn("is_left", F.lit(False))
+    both = lefts.unionByName(rights).repartition("entity", "kind", "slot").sortWithinPartitions("entity", "kind", "slot", "t", "is_left", "id")
     found = both.mapInArrow(_work(tolerance_ns), PAIRS)
-    best = found.groupBy("left_id").agg(F.min(F.struct("distance_ns", "right_time", "right_id")).alias("best"))
-    return best.select("left_id", "best.right_id", "best.distance_ns")
+    best = found.groupBy("left_id", "kind").agg(F.min(F.struct("distance_ns", "right_time", "right_id")).alias("best"))
+    return best.select("left_id", "kind", "best.right_id", "best.distance_ns")

@@ -31,22 +31,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_links(spark, d).select("condition_id", "market_id")
 
 
-def _polls(spark: SparkSession, d: str) -> DataFrame:
-    """Every poll with a readable time of a confirmed match: its id, its instant and the matched market."""
-    polls = instant_columns(table(spark, d, "cross_source_snapshots"), "polled_at", "instant").where("instant is not null")
-    matches = table(spark, d, "market_matches").where("status = 'confirmed'").select("external_market_id", "manifold_market_id").distinct()
-    joined = polls.join(matches, polls["market_id"] == matches["external_market_id"])
-    return near.records(joined, F.col("manifold_market_id"), F.col("instant"), F.col("id"))
-
-
 def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The pairs with their distance in time."""
-    polls, parts = _polls(spark, d), []
-    for origin in ("probability_snapshots", "feature_snapshots"):
-        readings = near.records(table(spark, d, origin), F.col("market_id"), F.col("ts_ns"), F.col("id"))
-        pairs = near.nearest(polls, readings, TOLERANCE_NS)
-        parts.append(pairs.select(F.col("left_id").alias("cross_id"), F.col("right_id").alias("snapshot_id"), F.lit(origin).alias("origin"), "distance_ns"))
-    return parts[0].unionByName(parts[1])
+    c = F.col
+    matches = table(spark, d, "market_matches").where("status = 'confirmed'").select("external_market_id", "manifold_market_id").distinct()
+    polls = table(spark, d, "cross_source_snapshots").join(matches.withColumnRenamed("external_market_id", "market_id"), "market_id")
+    polls = instant_columns(polls, "polled_at", "instant")
+    lefts = near.records(polls, c("manifold_market_id"), c("instant"), c("id"))
+    matched = matches.select(c("manifold_market_id").alias("market_id")).distinct()
+    origins, rights = ("probability_snapshots", "feature_snapshots"), None
+    for origin in origins:
+        readings = table(spark, d, origin).select("id", "market_id", "ts_ns").join(matched, "market_id", "left_semi")
+        part = near.records(readings, c("market_id"), c("ts_ns"), c("id"), origin)
+        rights = part if rights is None else rights.unionByName(part)
+    pairs = near.nearest(lefts, rights, TOLERANCE_NS, origins)
+    return pairs.select(c("left_id").alias("cross_id"), c("right_id").alias("snapshot_id"), c("kind").alias("origin"), "distance_ns")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
