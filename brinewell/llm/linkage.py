@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewell.llm.questions import asked, same_word
@@ -35,69 +35,67 @@ STABLE = 0.005
 MAX_ROUNDS = 12
 MIN_CONFIDENCE = 0.5
 DAY_NS = 86_400_000_000_000
-_ATTRIBUTES = "key string, kind string, against boolean, figure double, words array<string>, day bigint"
+_ATTRIBUTES = "side string, key string, kind string, against boolean, figure double, words array<string>, day bigint"
 
 
-def read_questions(df: DataFrame, key: Column, question: Column, instant_ns: Column) -> DataFrame:
-    """The attributes of each row; day is the deadline named in the question, else the day of instant_ns."""
+def read_questions(rows: DataFrame) -> DataFrame:
+    """The attributes of rows of (side, key, question, instant_ns); day is the deadline named in the question, else the day of the instant."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, q, ns in zip(*(c.to_pylist() for c in batch.columns)):
+            out = []
+            for side, k, q, ns in zip(*(c.to_pylist() for c in batch.columns)):
                 a = asked(q)
                 if a is None:
                     continue
                 day = a.day if a.day is not None else (None if ns is None else ns // DAY_NS)
                 if day is not None:
-                    rows.append((k, a.kind, a.against, a.figure, list(a.words), day))
-            if rows:
-                kinds = (pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.list_(pa.string()), pa.int64())
+                    out.append((side, k, a.kind, a.against, a.figure, list(a.words), day))
+            if out:
+                kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.list_(pa.string()), pa.int64())
                 names = [x.split()[0] for x in _ATTRIBUTES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    picked = df.select(key.cast("string").alias("key"), question.cast("string").alias("question"), instant_ns.cast("bigint").alias("ns"))
-    return picked.where("key is not null and question is not null").mapInArrow(work, _ATTRIBUTES)
+    picked = rows.select("side", "key", "question", "instant_ns").where("key is not null and question is not null")
+    return picked.mapInArrow(work, _ATTRIBUTES)
 
 
 def _classed(rows: DataFrame) -> DataFrame:
     figure = F.coalesce(F.col("figure").cast("string"), F.lit(""))
-    return rows.withColumn("class", F.concat_ws("|", "kind", "against", figure, F.array_join("words", " "), "day"))
+    return rows.withColumn("class", F.concat_ws("|", "side", "kind", "against", figure, F.array_join("words", " "), "day"))
 
 
 def _bare(word: Column) -> Column:
     return F.regexp_replace(word, "^[12]", "")
 
 
-def _keys(classes: DataFrame, rarity: DataFrame, days: list[int]) -> DataFrame:
-    """class, word, worth and a block key for each of a class's rarest words, its slips and the day slots it reaches into."""
-    words = classes.select("class", "kind", "against", "figure", "day", F.explode("words").alias("w")).withColumn("word", _bare(F.col("w")))
-    ranked = words.join(rarity, "word").groupBy("class", "kind", "against", "figure", "day").agg(
+def _keys(classes: DataFrame) -> DataFrame:
+    """class, side, word, worth, slot and a block key for each slip of a class's rarest words."""
+    words = classes.select("class", "side", "kind", "against", "figure", "day", F.explode("words").alias("w")).withColumn("word", _bare(F.col("w")))
+    rarity = words.groupBy("word").agg(F.count("*").alias("df")).withColumn("worth", 1.0 / F.log(F.col("df") + 1.7))
+    ranked = words.join(rarity, "word").groupBy("class", "side", "kind", "against", "figure", "day").agg(
         F.slice(F.sort_array(F.collect_set(F.struct("df", "word", "worth"))), 1, RARE_WORDS).alias("rarest")
     )
-    each = ranked.withColumn("r", F.explode("rarest")).select("class", "kind", "against", "figure", "day", "r.word", "r.worth")
+    each = ranked.withColumn("r", F.explode("rarest")).select("class", "side", "kind", "against", "figure", "day", "r.word", "r.worth")
     n = F.length("word")
     cut = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.substring(F.col("word"), F.lit(1), k - 1), F.substring(F.col("word"), k + 1, n)))
     slips = F.when(n >= 4, F.array_distinct(F.concat(F.array("word"), cut))).otherwise(F.array("word"))
-    width = MAX_DAYS + 1
-    slots = F.array_distinct(F.array(*[F.floor((F.col("day") + s) / width) for s in days]))
-    spread = each.withColumn("slip", F.explode(slips)).withColumn("slot", F.explode(slots))
-    return spread.select("class", "word", "worth", F.xxhash64("kind", "against", "figure", "slip", "slot").alias("block"))
-
-
-def candidate_edges(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b and weight of the candidate pairs of classes, after meta-blocking."""
-    words = left.select("class", "words").unionByName(right.select("class", "words")).select(F.explode("words").alias("w"))
-    rarity = words.groupBy(_bare(F.col("w")).alias("word")).agg(F.count("*").alias("df"))
-    rarity = rarity.withColumn("worth", 1.0 / F.log(F.col("df") + 1.7))
-    lefts = _keys(left, rarity, [0]).select(F.col("class").alias("a"), "word", F.col("worth").alias("worth_a"), "block")
-    rights = _keys(right, rarity, [-MAX_DAYS, 0, MAX_DAYS]).select(F.col("class").alias("b"), F.col("worth").alias("worth_b"), "block")
-    shared = lefts.join(rights, "block").groupBy("a", "b", "word").agg(F.max(F.least("worth_a", "worth_b")).alias("worth"))
-    edges = shared.groupBy("a", "b").agg(F.sum("worth").alias("weight"))
-    best_a = edges.groupBy("a").agg(F.max("weight").alias("best_a"))
-    best_b = edges.groupBy("b").agg(F.max("weight").alias("best_b"))
-    kept = edges.join(best_a, "a").join(best_b, "b").where(F.col("weight") >= LIGHT * F.least("best_a", "best_b"))
-    return kept.select("a", "b", "weight")
+    spread = each.withColumn("slip", F.explode(slips))
+    return spread.select("class", "side", "word", "worth", "day", F.xxhash64("kind", "against", "figure", "slip").alias("block"))
+
+
+def candidate_edges(classes: DataFrame) -> DataFrame:
+    """a, b, across and weight of the candidate pairs of classes after meta-blocking; across: a is of the left source and b of the right one."""
+    keys = checkpointed(_keys(classes))
+    slot = lambda s: F.floor((F.col("day") + s) / (MAX_DAYS + 1))
+    slots = F.array_distinct(F.array(slot(-MAX_DAYS), slot(0), slot(MAX_DAYS)))
+    lefts = keys.select(F.col("class").alias("a"), F.col("side").alias("side_a"), "word", F.col("worth").alias("worth_a"), "block", F.explode(slots).alias("slot"))
+    rights = keys.select(F.col("class").alias("b"), F.col("side").alias("side_b"), F.col("worth").alias("worth_b"), "block", slot(0).alias("slot"))
+    pairs = lefts.join(rights, ["block", "slot"]).where("side_a < side_b or (side_a = side_b and a < b)")
+    shared = pairs.groupBy("a", "b", "word").agg(F.max(F.least("worth_a", "worth_b")).alias("worth"), F.first(F.col("side_a") < F.col("side_b")).alias("across"))
+    edges = shared.groupBy("a", "b").agg(F.sum("worth").alias("weight"), F.first("across").alias("across"))
+    best = lambda c: F.max("weight").over(Window.partitionBy(c, "across"))
+    return edges.withColumn("best_a", best("a")).withColumn("best_b", best("b")).where(F.col("weight") >= LIGHT * F.least("best_a", "best_b"))
 
 
 def similarity(a: list[str], b: list[str], days: int) -> float:
@@ -117,57 +115,57 @@ def similarity(a: list[str], b: list[str], days: int) -> float:
     return max(0.0, 1.0 - 0.08 * slips - 0.04 * days)
 
 
-def _own(edges: DataFrame) -> DataFrame:
+def _alike(classes: DataFrame) -> DataFrame:
+    """a, b, across and own similarity of the candidates whose attributes do not contradict each other."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wa, wb, da, db = (batch.column(c).to_pylist() for c in ("words_a", "words_b", "day_a", "day_b"))
             own = pa.array([similarity(x, y, abs(m - n)) for x, y, m, n in zip(wa, wb, da, db)], pa.float64())
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), own], names=["a", "b", "own"])
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("across"), own], names=["a", "b", "across", "own"])
             yield out.filter(pa.compute.greater(own, 0.0))
 
-    return edges.mapInArrow(work, "a string, b string, own double")
-
-
-def _alike(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b and own similarity of the candidate classes whose attributes do not contradict each other."""
     attributes = ["kind", "against", "figure", "words", "day"]
-    side = lambda n, x: n.select(F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in attributes])
-    full = candidate_edges(left, right).join(side(left, "a"), "a").join(side(right, "b"), "b")
+    side = lambda x: classes.select(F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in attributes])
+    full = candidate_edges(classes).join(side("a"), "a").join(side("b"), "b")
     same = (F.col("kind_a") == F.col("kind_b")) & (F.col("against_a") == F.col("against_b")) & F.col("figure_a").eqNullSafe(F.col("figure_b"))
-    return _own(full.where(same))
+    picked = full.where(same).select("a", "b", "across", "words_a", "words_b", "day_a", "day_b")
+    return checkpointed(picked.mapInArrow(work, "a string, b string, across boolean, own double"))
 
 
 def refined(edges: DataFrame) -> DataFrame:
-    """a, b and the stable similarity of each edge: its own, mixed with the mean of the edges that share an end with it."""
-    now = checkpointed(edges.withColumn("s", F.col("own")))
+    """a, b and the stable similarity s of each edge: its own, mixed with the mean of the edges that share an end with it."""
+    now = edges.select("a", "b", "own", F.col("own").alias("s"))
     for _ in range(MAX_ROUNDS):
-        by_a = now.groupBy("a").agg(F.sum("s").alias("sum_a"), F.count("*").alias("n_a"))
-        by_b = now.groupBy("b").agg(F.sum("s").alias("sum_b"), F.count("*").alias("n_b"))
+        total = lambda c: F.sum("s").over(Window.partitionBy(c))
+        count = lambda c: F.count("*").over(Window.partitionBy(c))
+        summed = now.withColumn("sum_a", total("a")).withColumn("n_a", count("a")).withColumn("sum_b", total("b")).withColumn("n_b", count("b"))
         others = F.col("n_a") + F.col("n_b") - 2
         mean = F.when(others > 0, (F.col("sum_a") + F.col("sum_b") - 2 * F.col("s")) / others).otherwise(F.col("own"))
-        nxt = now.join(by_a, "a").join(by_b, "b").select("a", "b", "own", (SELF * F.col("own") + (1 - SELF) * mean).alias("t"), "s")
-        nxt = checkpointed(nxt)
+        nxt = checkpointed(summed.select("a", "b", "own", "s", (SELF * F.col("own") + (1 - SELF) * mean).alias("t")))
         moved = nxt.agg(F.max(F.abs(F.col("t") - F.col("s")))).first()[0]
         now = nxt.select("a", "b", "own", F.col("t").alias("s"))
         if moved is None or moved <= STABLE:
             break
-    return now
-
-
-def link(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_key, right_key and confidence (0..1) of the rows that ask for the same thing; left and right as read_questions() gives them."""
-    left, right = checkpointed(_classed(left)), checkpointed(_classed(right))
-    attributes = ["class", "kind", "against", "figure", "words", "day"]
-    nodes_a, nodes_b = left.select(attributes).dropDuplicates(["class"]), right.select(attributes).dropDuplicates(["class"])
-    links = refined(_alike(nodes_a, nodes_b)).where(F.col("s") >= MIN_CONFIDENCE).select("a", "b", "s")
-    links = checkpointed(links)
-    twins_a, twins_b = _alike(nodes_a, nodes_a).where("a <> b"), _alike(nodes_b, nodes_b).where("a <> b")
-    by_a = twins_a.select("a", F.col("b").alias("via"), "own").join(links.select(F.col("a").alias("via"), "b", "s"), "via")
-    by_b = twins_b.select(F.col("a").alias("via"), "b", "own").join(links.select("a", F.col("b").alias("via"), "s"), "via")
-    handed = by_a.select("a", "b", (F.col("s") * F.col("own")).alias("s")).unionByName(by_b.select("a", "b", (F.col("s") * F.col("own")).alias("s")))
-    day = lambda n, x: n.select(F.col("class").alias(x), F.col("day").alias(f"day_{x}"))
-    handed = handed.join(day(nodes_a, "a"), "a").join(day(nodes_b, "b"), "b").where(F.abs(F.col("day_a") - F.col("day_b")) <= MAX_DAYS)
-    links = links.unionByName(handed.select("a", "b", "s")).groupBy("a", "b").agg(F.max("s").alias("s")).where(F.col("s") >= MIN_CONFIDENCE)
-    rows = links.join(left.select(F.col("class").alias("a"), F.col("key").alias("left_key")), "a")
-    rows = rows.join(right.select(F.col("class").alias("b"), F.col("key").alias("right_key")), "b")
-    return rows.groupBy("left_key", "right_key").agg(F.max("s").alias("confidence"))
+    return now.select("a", "b", "s")
+
+
+def link(rows: DataFrame) -> DataFrame:
+    """left_key, right_key and confidence (0..1) of the rows that ask for the same thing.
+
+    rows: (side, key, question, instant_ns) of both sources; the side that sorts first is the left one.
+    """
+    rows = checkpointed(_classed(read_questions(rows)))
+    classes = rows.select("class", "side", "kind", "against", "figure", "words", "day").dropDuplicates(["class"])
+    alike = _alike(classes)
+    links = refined(alike.where("across")).where(F.col("s") >= MIN_CONFIDENCE)
+    twins = alike.where("not across")
+    twins = twins.select(F.col("a").alias("x"), F.col("b").alias("via"), "own").unionByName(twins.select(F.col("b").alias("x"), F.col("a").alias("via"), "own"))
+    by_a = twins.join(links, twins["via"] == links["a"]).select(F.col("x").alias("a"), "b", (F.col("s") * F.col("own")).alias("s"))
+    by_b = twins.join(links, twins["via"] == links["b"]).select("a", F.col("x").alias("b"), (F.col("s") * F.col("own")).alias("s"))
+    day = lambda c: F.element_at(F.split(c, "[|]"), -1).cast("bigint")
+    handed = by_a.unionByName(by_b).where(F.abs(day("a") - day("b")) <= MAX_DAYS)
+    links = links.unionByName(handed).groupBy("a", "b").agg(F.max("s").alias("s")).where(F.col("s") >= MIN_CONFIDENCE)
+    found = links.join(rows.select(F.col("class").alias("a"), F.col("key").alias("left_key")), "a")
+    found = found.join(rows.select(F.col("class").alias("b"), F.col("key").alias("right_key")), "b")
+    return found.groupBy("left_key", "right_key").agg(F.max("s").alias("confidence"))

@@ -9,7 +9,7 @@ from brinewell.functions.instants import instant_columns
 from brinewell.llm import nearest as near
 from brinewell.llm.encode import encode_texts
 from brinewell.llm.leaks import find_leaks
-from brinewell.llm.linkage import link, read_questions
+from brinewell.llm.linkage import link
 from brinewell.llm.personal import find_personal, mask_personal
 from brinewell.sources.tables import table
 
@@ -19,11 +19,9 @@ TOLERANCE_NS = 600_000_000_000
 def p1_links(spark: SparkSession, d: str) -> DataFrame:
     """The pairs with the confidence of each, in thousandths."""
     c = F.col
-    own = instant_columns(table(spark, d, "markets"), "close_time", "instant")
-    other = instant_columns(table(spark, d, "polymarket_markets").select("conditionId", "question", "endDate").distinct(), "endDate", "instant")
-    pairs = link(
-        read_questions(other, c("conditionId"), c("question"), c("instant")), read_questions(own, c("market_id"), c("question_text"), c("instant"))
-    )
+    other = table(spark, d, "polymarket_markets").select(F.lit("1").alias("side"), c("conditionId").alias("key"), "question", c("endDate").alias("written"))
+    own = table(spark, d, "markets").select(F.lit("2").alias("side"), c("market_id").alias("key"), c("question_text").alias("question"), c("close_time").alias("written"))
+    pairs = link(instant_columns(other.distinct().unionByName(own), "written", "instant_ns"))
     return pairs.select(c("left_key").alias("condition_id"), c("right_key").alias("market_id"), F.floor(c("confidence") * 1000).cast("int").alias("confidence_e3"))
 
 
