@@ -1,8 +1,8 @@
 """Exactly one copy of each message: idempotent upserts into hash-bucketed, sorted storage, and compaction of its runs.
 
 A batch is written as one run: a bucketed table file set, clustered by the identifier's hash and sorted inside each bucket.
-Writing the same batch again replaces its run. Compaction reads the buckets as they lie, without a shuffle, merges the
-sorted runs and keeps of equal identifiers the copy that comes first.
+Writing the same batch again replaces its run. Compaction merges the sorted runs and keeps of equal identifiers the copy that comes
+first; a single run is read bucket by bucket as it lies, without a shuffle.
 
 One identifier may have a third of all rows. A run is therefore collapsed in two steps: inside blocks of consecutive order
 values, which spreads a hot identifier over many tasks, then per identifier over the blocks' first copies alone. A copy that a
@@ -53,10 +53,10 @@ class RunStore:
         )
 
     def _ranked(self) -> DataFrame:
-        runs = [self.spark.table(n) for n in self.names.values()]
-        stored = runs[0]
-        for r in runs[1:]:
-            stored = stored.unionByName(r)
+        if len(self.names) == 1:
+            stored = self.spark.table(next(iter(self.names.values())))
+        else:  # read as plain files: a union of bucketed scans would count as clustered though its equal buckets are not read together
+            stored = self.spark.read.parquet(*[f"{self.path}/{b}" for b in self.names])
         rivals = Window.partitionBy("__hash", "__head", *self.key).orderBy(*self.order)
         return stored.withColumn("__rank", F.when(F.col("__head"), F.row_number().over(rivals)).otherwise(2))
 
