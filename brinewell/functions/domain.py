@@ -113,7 +113,7 @@ def settle(side: Column, outcome: Column, shares: Column, cost: Column) -> Colum
 
 def date_factor(gap_days: Column, decay_days: float = 30.0) -> Column:
     """1 for no gap, falling to 0 at decay_days; 1 where the gap is unknown."""
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(gap_days) / decay_days), F.lit(1.0))
+    return F.when(gap_days.isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(gap_days) / decay_days))
 
 
 def rounded(x: Column, scale: float) -> Column:

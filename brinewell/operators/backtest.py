@@ -45,7 +45,7 @@ def totals(trades: DataFrame) -> DataFrame:
 
 def require_trades(total: DataFrame) -> DataFrame:
     """A6's error on an empty set."""
-    return total.select("*", F.assert_true(F.col("n") > 0, "no trades").alias("checked")).drop("checked")
+    return total.withColumn("n", F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("no trades"))))
 
 
 def spread_picks(bets: DataFrame, most: int = 5) -> DataFrame:
