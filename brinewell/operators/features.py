@@ -18,13 +18,25 @@ SECOND = 1_000_000_000
 SNAPSHOT = "id bigint, market_id string, ts_ns bigint, prob_velocity double, bet_arrival_rate double, realized_vol double, n_window int"
 
 
-def window_features(ts: np.ndarray, before: np.ndarray, after: np.ndarray, window_ns: int, capacity: int) -> tuple[np.ndarray, ...]:
-    """Velocity, arrival rate, volatility and number of bets at each bet of one market in order."""
-    seconds = window_ns / SECOND
-    at = np.arange(len(ts))
-    start = np.maximum(np.searchsorted(ts, ts - window_ns, side="left"), at - capacity + 1)
+def window_features(
+    ts: np.ndarray, before: np.ndarray, after: np.ndarray, window_ns: int, capacity: int, group: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """Velocity, arrival rate, volatility and number of bets at each bet. The bets of a group (a market) lie together, in order of time."""
+    seconds, at = window_ns / SECOND, np.arange(len(ts))
+    if group is None:
+        start = np.searchsorted(ts, ts - window_ns, side="left")
+    else:
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ts))))
+        since = ts - ts[first][place]
+        line = since + place * (int(since.max()) + window_ns + 1)  # all groups on one axis, further apart than a window
+        start = np.maximum(np.searchsorted(line, line - window_ns, side="left"), first[place])
+    start = np.maximum(start, at - capacity + 1)
     count = at - start + 1
-    squares = np.concatenate([[0.0], np.cumsum(np.diff(after) ** 2)])
+    steps = np.diff(after) ** 2
+    if group is not None:
+        steps[group[1:] != group[:-1]] = 0.0
+    squares = np.concatenate([[0.0], np.cumsum(steps)])
     total = np.maximum(squares[at] - squares[start], 0.0)
     if seconds == 0:
         return np.zeros(len(ts)), np.zeros(len(ts)), np.sqrt(total), count
@@ -49,24 +61,28 @@ def event_time_features(bets: DataFrame, window_ns: int = 60 * SECOND, capacity:
                 continue
             market, slots_at = batch.column("market_id"), batch.column("slot").to_numpy()
             codes = pa.compute.dictionary_encode(market).indices.to_numpy()
-            edges = [0, *(np.flatnonzero((np.diff(codes) != 0) | (np.diff(slots_at) != 0)) + 1).tolist(), batch.num_rows]
-            ids, counts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("counts").to_numpy(zero_copy_only=False)
+            change = (np.diff(codes) != 0) | (np.diff(slots_at) != 0)
+            group = np.concatenate(([0], np.cumsum(change)))
             series = [batch.column(c).to_numpy() for c in ("ts_ns", "prob_before", "prob_after")]
-            for a, b in zip(edges, edges[1:]):
-                key = (market[a].as_py(), int(slots_at[a]))
-                before = held if held_key == key else [s[:0] for s in series]
-                whole = [np.concatenate([h, s[a:b]]) for h, s in zip(before, series)]
-                extra = len(before[0])
-                found = [f[extra:] for f in window_features(*whole, window_ns, capacity)]
-                held, held_key = [w[-capacity:] for w in whole], key
-                keep = counts[a:b]
-                if keep.any():
-                    n = int(keep.sum())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a:b][keep]), pa.array([key[0]] * n), pa.array(series[0][a:b][keep]), *[pa.array(f[keep]) for f in found[:3]],
-                         pa.array(found[3][keep].astype(np.int32))],
-                        names=[x.split()[0] for x in SNAPSHOT.split(", ")],
-                    )
+            counts = batch.column("counts").to_numpy(zero_copy_only=False)
+            before = held if held_key == (market[0].as_py(), int(slots_at[0])) else [s[:0] for s in series]
+            extra = len(before[0])
+            whole = [np.concatenate([h, s]) for h, s in zip(before, series)]
+            groups = np.concatenate([np.zeros(extra, group.dtype), group])
+            # Groups are put on one axis, as many at once as it has room for.
+            step = max(1, 2**62 // (width + 2 * window_ns + 2))
+            parts = []
+            for a in range(0, int(groups[-1]) + 1, step):
+                x, y = np.searchsorted(groups, [a, a + step])
+                parts.append(window_features(*[w[x:y] for w in whole], window_ns, capacity, groups[x:y]))
+            found = [np.concatenate(f)[extra:][counts] for f in zip(*parts)]
+            last = int(np.searchsorted(groups, groups[-1]))
+            held, held_key = [w[max(last, len(w) - capacity) :] for w in whole], (market[-1].as_py(), int(slots_at[-1]))
+            if counts.any():
+                keep = pa.array(counts)
+                columns = [batch.column(c).filter(keep) for c in ("id", "market_id", "ts_ns")]
+                columns += [*map(pa.array, found[:3]), pa.array(found[3].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SNAPSHOT.split(", ")])
 
     return ready.mapInArrow(work, SNAPSHOT)
 
