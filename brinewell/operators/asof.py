@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_NS = 86_400_000_000_000
+HOUR_NS = 3_600_000_000_000
 
 
 def latest(df: DataFrame, key: str, order: list[str], *values: str) -> DataFrame:
@@ -22,7 +22,7 @@ def market_state(bets: DataFrame) -> DataFrame:
     return latest(bets, "market_id", ["id"], "prob_after", "ts_ns").withColumnsRenamed({"prob_after": "current_prob", "ts_ns": "last_updated_ns"})
 
 
-def asof_backward(probes: DataFrame, facts: DataFrame, key: str, probe_time: str, fact_time: str, tie: str, value: str, out: str, slot_ns: int = DAY_NS) -> DataFrame:
+def asof_backward(probes: DataFrame, facts: DataFrame, key: str, probe_time: str, fact_time: str, tie: str, value: str, out: str, slot_ns: int = HOUR_NS) -> DataFrame:
     """probes with the column out: value of the fact of the same key that is the latest at or before the probe, null if there is none.
 
     Of facts with one time the greatest tie counts, a null value included. Probes with a null key or time get null.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.functions import domain as d
 from brinewell.operators.asof import asof_with_latency
+from brinewell.operators.positions import placed
 
 LATENCY_NS = 94_207
 
@@ -50,8 +51,7 @@ def require_trades(total: DataFrame) -> DataFrame:
 
 def spread_picks(bets: DataFrame, most: int = 5) -> DataFrame:
     """Of the first half of each market's bets every n-th, at most `most`."""
-    order = Window.partitionBy("market_id").orderBy("ts_ns", "id")
-    rows = bets.withColumn("place", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("market_id")))
+    rows = placed(bets, "market_id", "ts_ns", "id")
     half = F.expr("n div 2")
     step = F.greatest(F.lit(1).cast("bigint"), F.expr(f"(n div 2) div {most}"))
     return rows.where((F.col("place") < half) & (F.col("place") % step == 0) & (F.col("place") / step < most))

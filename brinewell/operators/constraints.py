@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewell.functions.domain import divergence_direction, gross_violation
+from brinewell.operators.positions import chunked, placed
 
 LEG_COST = 0.02
 
@@ -36,7 +37,7 @@ def group_report(constraints: DataFrame, prices: DataFrame, leg_cost: float = LE
     rows = _sides(constraints, prices, "left")
     gross = F.coalesce(gross_violation(F.col("op"), F.col("lhs_prob"), F.col("rhs_prob")), F.lit(0.0))
     rows = rows.withColumn("gross", gross).withColumn("net", F.col("gross") - 2 * leg_cost).withColumn("holds", F.col("gross") <= 0)
-    return rows.withColumn("consistent", F.min("holds").over(Window.partitionBy("group_id")))
+    return rows.join(rows.groupBy("group_id").agg(F.min("holds").alias("consistent")), "group_id")
 
 
 def divergences(matches: DataFrame, own: DataFrame, other: DataFrame, threshold: float = 0.05) -> DataFrame:
@@ -59,8 +60,9 @@ def entries(ticks: DataFrame, strict_edges: bool = False) -> DataFrame:
     rows = ticks.withColumn("actionable", (F.col("gross") > 0) & (F.col("net") > 0))
     if not strict_edges:
         rows = rows.where("gross > 0")
-    before = F.lag("actionable", 1, False).over(Window.partitionBy("constraint_id").orderBy("ts_ns"))
-    return rows.withColumn("before", before).where("actionable and not before").drop("before", "actionable")
+    rows = chunked(placed(rows, "constraint_id", "ts_ns"), 1)
+    before = F.lag("actionable", 1, False).over(Window.partitionBy("constraint_id", "chunk").orderBy("place"))
+    return rows.withColumn("before", before).where("own and actionable and not before").drop("before", "actionable", "own", "chunk", "place", "n")
 
 
 def two_legs(entered: DataFrame) -> DataFrame:

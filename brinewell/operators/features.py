@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinewell.operators.positions import chunked, placed
+
 SECOND = 1_000_000_000
 SNAPSHOT = "id bigint, market_id string, ts_ns bigint, prob_velocity double, bet_arrival_rate double, realized_vol double, n_window int"
 
@@ -89,14 +91,14 @@ def event_time_features(bets: DataFrame, window_ns: int = 60 * SECOND, capacity:
 
 def count_features(bets: DataFrame, last: int = 25) -> DataFrame:
     """over the last bets of a market; zeros where there are fewer than two or no time between them; volatility needs two differences."""
-    order = Window.partitionBy("market_id").orderBy("ts_ns", "id")
-    frame = order.rowsBetween(-(last - 1), 0)
-    rows = bets.withColumn("diff", F.col("prob_after") - F.lag("prob_after").over(order))
-    inner = order.rowsBetween(-(last - 2), 0)
+    rows = chunked(placed(bets.select("id", "market_id", "ts_ns", "prob_after"), "market_id", "ts_ns", "id"), last)
+    order = Window.partitionBy("market_id", "chunk").orderBy("place")
+    frame, inner = order.rowsBetween(-(last - 1), 0), order.rowsBetween(-(last - 2), 0)
+    rows = rows.withColumn("diff", F.col("prob_after") - F.lag("prob_after").over(order))
     rows = rows.select(
-        "id", "market_id", "ts_ns", "prob_after", F.count("*").over(frame).alias("n"), F.first("prob_after").over(frame).alias("first_prob"),
+        "id", "market_id", "ts_ns", "prob_after", "own", F.count("*").over(frame).alias("n"), F.first("prob_after").over(frame).alias("first_prob"),
         F.first("ts_ns").over(frame).alias("first_ts"), F.stddev_pop("diff").over(inner).alias("spread"), F.count("diff").over(inner).alias("diffs"),
-    )
+    ).where("own")
     span = (F.col("ts_ns") - F.col("first_ts")).cast("double") / SECOND
     some = (F.col("n") >= 2) & (F.col("ts_ns") > F.col("first_ts"))
     return rows.select(
@@ -121,16 +123,15 @@ def bounded_history(bets: DataFrame, capacity: int = 512) -> DataFrame:
     """The last `capacity` bets of each market in order of arrival, with their place from the oldest."""
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    order = Window.partitionBy("market_id").orderBy(F.col("id").desc())
-    kept = bets.withColumn("n", F.row_number().over(order)).where(F.col("n") <= capacity)
-    return kept.withColumn("place", F.count("*").over(Window.partitionBy("market_id")) - F.col("n")).drop("n")
+    rows = placed(bets, "market_id", "id", block=1 << 16)
+    first = F.greatest(F.col("n") - capacity, F.lit(0))
+    return rows.where(F.col("place") >= first).withColumn("place", F.col("place") - first).drop("n")
 
 
 def tail_with_now(probabilities: DataFrame, now: DataFrame, keep: int = 120) -> DataFrame:
     """Each market's readings and a point for now, the last `keep` of them."""
     both = probabilities.select("market_id", "ts_ns", "probability").unionByName(now.select("market_id", "ts_ns", "probability"))
-    order = Window.partitionBy("market_id").orderBy(F.col("ts_ns").desc())
-    return both.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).drop("n")
+    return placed(both, "market_id", "ts_ns").where(F.col("place") >= F.col("n") - keep).drop("place", "n")
 
 
 def even_places(n: int, k: int) -> list[int]:
@@ -147,9 +148,7 @@ def even_places(n: int, k: int) -> list[int]:
 
 def sampled_bets(bets: DataFrame, k: int = 6, least: int = 8) -> DataFrame:
     """The bets at evenly spread places of each market with enough of them."""
-    order = Window.partitionBy("market_id").orderBy("ts_ns", "id")
-    rows = bets.withColumn("place", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("market_id")))
-    rows = rows.where(F.col("n") >= least)
+    rows = placed(bets, "market_id", "ts_ns", "id").where(F.col("n") >= least)
     span = F.col("n") - 3
     if k == 1:
         places = F.array(F.lit(2).cast("bigint"))

@@ -1,6 +1,6 @@
 """Similarity search of a stated set of vectors against all others (J10, D15 to D17, O6), and insertion of what is new.
 
-The queries are worked on in blocks of bounded size, which travel to the vectors; each task scores its vectors against a block by one
+The queries are worked on in blocks of bounded size, one after the other; a block travels to the vectors, each task scores its vectors against a block by one
 matrix product and hands on its best k a query, so that no pair below a task's best is ever shuffled.
 """
 
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinewell.session import shared_dir
+
 BLOCK_QUERIES = 2000
 MATCHES = "left_id bigint, right_id bigint, cosine double, score double"
 
@@ -60,18 +62,21 @@ def top_matches(left: DataFrame, right: DataFrame, top: int = 3, threshold: floa
     left and right: (id bigint, v array<float>, day double?); an unknown day counts as near; a zero vector has cosine 0; rows without a vector or with
     one of another length match nothing; equal scores rank by the right id; a row is no match of its own id.
     """
-    blocks, out = [[]], None
-    for r in left.select("id", F.col("v").cast("array<double>"), F.col("day").cast("double")).where("v is not null and size(v) > 0").toLocalIterator():
-        if len(blocks[-1]) >= BLOCK_QUERIES or (blocks[-1] and len(r[1]) != len(blocks[-1][0][1])):
-            blocks.append([])
-        blocks[-1].append(r)
+    spark, block, path = left.sparkSession, [], None
     facts = right.select("id", F.col("v").cast("array<double>").alias("v"), F.col("day").cast("double").alias("day"))
-    for block in blocks:
-        if block:
-            part = _block(left.sparkSession, facts, block, top, threshold, weight, decay_days)
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        return left.sparkSession.createDataFrame([], MATCHES)
+    found = lambda b: _block(spark, facts, b, top, threshold, weight, decay_days)
+    for r in left.select("id", F.col("v").cast("array<double>"), F.col("day").cast("double")).where("v is not null and size(v) > 0").toLocalIterator():
+        if block and (len(block) >= BLOCK_QUERIES or len(r[1]) != len(block[0][1])):
+            path = path or shared_dir(spark, "similar")
+            found(block).write.mode("append").parquet(path)
+            block = []
+        block.append(r)
+    if not block:
+        return spark.createDataFrame([], MATCHES + ", rank int")
+    out = found(block)
+    if path:
+        out.write.mode("append").parquet(path)
+        out = spark.read.parquet(path)
     best = Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewell.functions.domain import ns_to_date
@@ -22,8 +22,8 @@ def replaced(known: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """K7: known with the rows of new in place of those with the same key; of several new ones the last by all columns."""
     both = known.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))
     rest = [c for c in known.columns if c != key]
-    newest = Window.partitionBy(key).orderBy(F.col("__v").desc(), *[F.col(c).desc_nulls_last() for c in rest])
-    return both.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__v", "__n")
+    newest = both.groupBy(key).agg(F.max(F.struct("__v", *rest)).alias("__newest"))
+    return newest.select(key, *[F.col(f"__newest.{c}").alias(c) for c in rest]).select(*known.columns)
 
 
 def refilled(known: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.functions.domain import category_of, clamp, resolution_label
@@ -44,8 +44,8 @@ def first_seen(parts: list[DataFrame], key: str, rank: str) -> DataFrame:
     for k, p in enumerate(parts):
         p = p.withColumn("part", F.lit(k))
         whole = p if whole is None else whole.unionByName(p)
-    first = Window.partitionBy(key).orderBy("part", rank)
-    return whole.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    rest = [x for x in whole.columns if x != key]
+    return whole.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("part", rank)).alias("first")).select(key, "first.*")
 
 
 def filled_buckets(df: DataFrame, bucket: str, key: str, rank: list, quotas: list[tuple[str, int]]) -> list[tuple]:

@@ -315,3 +315,11 @@ def test_stage_times(spark):
     assert [(r.a_b, r.b_z, r.a_z) for r in serving.stage_times(rows, ["a", "b", "z"]).collect()] == [(2, 3, 5), (None, 5, 4), (None, None, 1)]
     r = serving.latency_report(spark.createDataFrame([(k,) for k in range(1, 101)], "w bigint"), "w").first()
     assert (r.n, r.p50, r.greatest) == (100, 50.5, 100)
+
+
+def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+    r = random.Random(3)
+    rows = spark.createDataFrame([(k, [r.gauss(0, 1) for _ in range(4)], float(k % 30)) for k in range(60)], "id bigint, v array<double>, day double")
+    whole = sorted(map(tuple, similarity.top_matches(rows.where("id % 5 = 0"), rows, 3, 0.0).select("left_id", "right_id", "rank").collect()))
+    monkeypatch.setattr(similarity, "BLOCK_QUERIES", 5)
+    assert sorted(map(tuple, similarity.top_matches(rows.where("id % 5 = 0"), rows, 3, 0.0).select("left_id", "right_id", "rank").collect())) == whole
