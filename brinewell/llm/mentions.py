@@ -65,11 +65,11 @@ ADDRESSES = (
 )
 _DOTTED = re.compile(r"(?:St|Ave|Rd|Ln|Dr|Ct|Pl|Blvd)\Z")
 NAME = re.compile(rf"{_HEAD}(?<![\w@.-].)(?<!\w['\u2019].)(?=({_REST} (?:[A-Z]\. )?{_SUR}|{_REST}(?:-{_CAP})?, {_CAP}(?: [A-Z]\.(?!\w))?)(?![\w@]))")
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 _BLOB = re.compile(r"[A-Za-z0-9+/]{100,}={0,2}")
 _PLAIN_WORDS = frozenset(
     """the and by of in to from with for on at that this it is as or not a an all order group select where kept stays then than but if no die der das
-    el la le les un une und oder""".split()
+    el la le les un une und oder until although because whenever unless while even yet so when before after""".split()
 )
 _CUES = frozenset(
     """author by par asked contacto contact ansprechpartner name todo person of von de para from attn dear maintainer owner reviewer signed written signs thanks
@@ -96,7 +96,7 @@ def _shape(s: str) -> str:
 def _around(text: str, a: int, b: int) -> list[str]:
     left = [w.lower() for w in _TOKEN.findall(text[max(0, a - 40) : a])][-3:]
     right = [w.lower() for w in _TOKEN.findall(text[b : b + 24])][:2]
-    words = [w for w in left if w[0].isalpha()]
+    words = [w for w in left if w.isalpha()]
     out = [f"l1={left[-1]}" if left else "l1=", f"r1={right[0]}" if right else "r1="]
     out += [f"lw={w}" for w in words[-2:]]
     if right and right[0].isalpha():
@@ -148,9 +148,8 @@ def mentions(text: str) -> list[Mention]:
             if _DOTTED.search(v) and plain[end : end + 1] == ".":
                 # The dot is the abbreviation's unless a sentence ends with it.
                 after = plain[end + 1 : end + 3]
-                sentence = after[:1] == " " and after[1:2].isupper()
-                ends = not after.strip() or after[0] in "\n\r\"'\\"
-                if not sentence and not (ends and v.endswith("Blvd")):
+                sentence = after[:1] == " " and after[1:2].isalpha() and not after[1:2].islower()
+                if re.match("[,;.)|]| [a-z|]", after) or not (v.endswith("Blvd") or sentence):
                     end += 1
             kind = "number first" if v[0].isdigit() or v.startswith(("Flat", "Apt", "Unit", "Suite")) else "street first"
             add("address", m.start(), end, [kind], [folded(text[m.start() : end])])
@@ -171,6 +170,8 @@ def mentions(text: str) -> list[Mention]:
         clues += ["caps"] * v.isupper() + ["method"] * bool(METHOD_WORDS & set(words)) + [f"cued={cued},known={known}"]
         if words[0] in _CUES and not comma:
             clues.append("starts with a cue")
+        if v.isupper() and re.search(r"\b[A-Z]{2,},? $", plain[max(0, a - 24) : a]):
+            clues.append("caps among caps")
         if _PLAIN_WORDS & set(words):
             clues.append("has a plain word")
         add("name", a, b, clues, [w for w in words if w != given and len(w) > 3] or words)
