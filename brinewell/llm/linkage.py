@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinewell.llm.questions import asked, same_word
+from brinewell.llm.questions import asked, doubled_alike, same_word
 from brinewell.session import checkpointed
 
 MAX_DAYS = 2
@@ -107,11 +107,14 @@ def similarity(a: list[str], b: list[str], days: int) -> float:
         if w in rest:
             rest.remove(w)
         else:
-            near = [x for x in rest if x[0].isdigit() == w[0].isdigit() and (not w[0].isdigit() or x[0] == w[0]) and same_word(x.lstrip("12"), w.lstrip("12"))]
+            one, role = w.lstrip("12"), w[0] if w[0].isdigit() else ""
+            near = [(same_word(x.lstrip("12"), one), x) for x in rest if (x[0] if x[0].isdigit() else "") == role]
+            near = [(2 - single, x) for single, x in near if single or doubled_alike(x.lstrip("12"), one)]
             if not near:
                 return 0.0
-            rest.remove(min(near))
-            slips += 1
+            cost, x = min(near)
+            rest.remove(x)
+            slips += cost
     return max(0.0, 1.0 - 0.08 * slips - 0.04 * days)
 
 

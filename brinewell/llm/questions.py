@@ -62,6 +62,12 @@ def same_word(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
 
+def doubled_alike(a: str, b: str) -> bool:
+    """Each is the same word with some letter doubled."""
+    single = lambda w: {w[:k] + w[k + 1 :] for k in range(len(w) - 1) if w[k] == w[k + 1]}
+    return bool(single(a) & single(b))
+
+
 _VOCABULARY = frozenset(" ".join([*KINDS.values(), AGAINST, SILENT]).split())
 _KIND_OF = {w: k for k, words in KINDS.items() for w in words.split()}
 _AGAINST = frozenset(AGAINST.split())
