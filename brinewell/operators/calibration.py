@@ -70,12 +70,20 @@ def calibration_error(curve: DataFrame) -> DataFrame:
     return curve.agg((F.sum(gap) / F.nullif(F.sum("count"), F.lit(0))).alias("ece"))
 
 
+def side_by_side(*single: DataFrame) -> DataFrame:
+    """Frames of one row each as one row."""
+    out = single[0]
+    for df in single[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def report(df: DataFrame, bins: int = 10) -> DataFrame:
     """A5: one row: rows, markets, base rate, Brier score, log loss, calibration error."""
     scores = df.agg(
         F.count("*").alias("n"), F.countDistinct("market_id").alias("n_markets"), F.avg("y").alias("base_rate"), brier().alias("brier"), log_loss().alias("log_loss")
     )
-    return scores.crossJoin(F.broadcast(calibration_error(reliability(df, bins))))
+    return side_by_side(scores, calibration_error(reliability(df, bins)))
 
 
 class BaselineModel:

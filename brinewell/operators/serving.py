@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.operators.asof import latest
+from brinewell.operators.calibration import side_by_side
 from brinewell.operators.features import last_values
 
 
@@ -94,7 +95,7 @@ def counts(markets: DataFrame, signals: DataFrame, groups: DataFrame) -> DataFra
     a = markets.agg(F.count_if(F.col("resolved_outcome").isNull()).alias("open_markets"))
     b = signals.agg(F.count_if(F.col("type") == "logical_constraint").alias("constraint_signals"))
     c = groups.select("group_id", "consistent").distinct().agg(F.count_if(~F.col("consistent")).alias("inconsistent_groups"))
-    return a.crossJoin(b).crossJoin(c)  # three single rows
+    return side_by_side(a, b, c)
 
 
 def group_category(members: DataFrame) -> DataFrame:

@@ -261,7 +261,7 @@ def r_j10_similar(s, at):
 
 def r_j11_labels(s, at):
     rows = serving.signal_labels(found_signals(s, at), table(s, at, "markets"))
-    return rows.select("id", F.explode("labels").alias("market_id", "question_text"))
+    return rows.select("market_refs", F.explode("labels").alias("market_id", "question_text"))
 
 
 def r_j12_new_pairs(s, at):
@@ -409,8 +409,9 @@ def r_p6_by_status(s, at):
 
 def r_k3_by_date(s, at):
     path = shared_dir(s, "bets-by-date")
-    sinks.write_by_date(bets(s, at), path)
-    return s.read.parquet(path).groupBy(c("dt").cast("string").alias("dt")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    rows = bets(s, at)
+    sinks.write_by_date(rows, path)
+    return s.read.schema(rows.withColumn("dt", F.lit("")).schema).parquet(path).groupBy(c("dt").cast("string").alias("dt")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 def r_k6_placeholders(s, at):

@@ -185,6 +185,11 @@ union all select ts_ns, 4, id, 'probability', market_id from probability_snapsho
     "r_d14_legs": _w(_P, _N, _L, _V) + """select lhs_market, rhs_market, case when (op = '<=') = (s = 'NO') then lhs_market else rhs_market end as market_id, s as side, (gross - 0.04) / 2 as theoretical
 from v, (select unnest(['NO', 'YES']) as s) where gross > 0 and gross - 0.04 > 0""",
     "r_q6_signals": _w(_P, _N, _E, _C, _D, _L, _V, _SIG) + "select * from sg",
+    "r_j11_labels": _w(_P, _N, _E, _C, _D, _L, _V, _SIG)
+    + "select distinct market_refs, m.market_id, m.question_text from (select market_refs, unnest(from_json(market_refs, '[\"VARCHAR\"]')) as ref from sg) x join markets m on m.market_id = x.ref",
+    "r_j13_buckets": """with x as (select distinct on (conditionId) conditionId, volumeNum, substr(conditionId, 3, 1) as bucket from polymarket_markets),
+r as (select *, row_number() over (partition by bucket order by volumeNum desc nulls last, conditionId) as k from x)
+select bucket, conditionId as condition_id from r where (bucket = 'a' and k <= 6) or (bucket = 'b' and k <= 4) or (bucket = 'c' and k <= 3)""",
     "r_o7_explorer": _w(_P, _N, _PRED) + "select market_id, p_model - p_market as edge from markets left join pr using (market_id) order by coalesce(abs(p_model - p_market), 1.0) desc, market_id limit 40",
     "r_o8_featured": _w(_P, _N, _PRED) + "select market_id, abs(p_model - p_market) as edge_size from pr order by 2 desc, 1 desc limit 1",
     "r_p9_explored": "select market_id, question_text from markets where contains(lower(question_text), 'win') and resolved_outcome is null",

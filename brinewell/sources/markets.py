@@ -52,12 +52,12 @@ def filled_buckets(df: DataFrame, bucket: str, key: str, rank: list, quotas: lis
     """Per bucket in order the best rows up to its quota that no earlier bucket has taken: (bucket, key) pairs.
 
     Each bucket's quota depends on what the earlier ones took, so this folds over the few buckets; each brings at most the sum of
-    all quotas to the driver, whatever the size of df.
+    all quotas to the driver, whatever the size of df. Of repeated rows of a key one counts.
     """
     most = sum(q for _, q in quotas)
     taken: list[tuple] = []
     for name, quota in quotas:
-        best = [r[0] for r in df.where(F.col(bucket) == name).orderBy(*rank).select(key).limit(most).collect()]
+        best = [r[0] for r in df.where(F.col(bucket) == name).dropDuplicates([key]).orderBy(*rank).select(key).limit(most).collect()]
         seen = {k for _, k in taken}
         taken += [(name, k) for k in best if k not in seen][:quota]
     return taken
