@@ -32,6 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 CHUNK_CHARS = 1 << 21
 REMEMBERED = 200_000
+SAMPLE_CHARS = 1 << 16  # longer texts are not among the sample's documents, which bounds what the driver reads
 
 
 @lru_cache(maxsize=1)
@@ -184,7 +185,7 @@ def encode_texts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER,
     """key and ids (array<int>) of every row of df."""
     spark = df.sparkSession
     ranks = read_ranks(tokenizer)
-    sample = [r[0] for r in df.select(F.substring(text, 1, 1 << 16)).where(f"`{text}` is not null").limit(lexicon_docs).collect()]
+    sample = [r[0] for r in df.select(text).where(F.length(text) <= SAMPLE_CHARS).limit(lexicon_docs).collect()]
     arrays = build_lexicon(ranks, sample)
     name, folder = uuid.uuid4().hex, shared_dir(spark, "lexicon")
     local = folder.removeprefix("file://") if folder.startswith(("file://", "/")) else None
