@@ -57,6 +57,15 @@ def load(spark: SparkSession, per_market: int, markets: int = 16, seed: int = 42
     return spark.range(markets).repartition(markets, "id").mapInPandas(walk, BETS)
 
 
+def bulk(spark: SparkSession, count: int, markets: int = 16, seed: int = 42) -> DataFrame:
+    """A load as large as wished without Python: probabilities are hashed instead of walked; times and turns are those of sequence()."""
+    p = lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(980_000)) / 1e6 + LOW
+    return spark.range(count).select(
+        "id", F.concat(F.lit("synthetic-market-"), F.col("id") % markets).alias("market_id"), ((F.col("id") + START_MS) * 1_000_000).alias("ts_ns"),
+        p(seed).alias("prob_before"), p(seed + 1).alias("prob_after"), F.lit(10.0).alias("amount"), F.lit(20.0).alias("shares"), F.lit(0).alias("is_limit_order"),
+    )
+
+
 def paced(spark: SparkSession, per_second: int) -> DataFrame:
     """An endless stream of numbered rows at a rate; the source keeps absolute deadlines."""
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("id"), F.col("timestamp").alias("due"))
