@@ -19,14 +19,21 @@ def _session_bets(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select(F.col("row_id").alias("line_no"), dewey.place(F.col("dewey")).alias("bet_pos"), F.col("member").alias("bet"))
 
 
+def _session_fields(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    """line_no, bet_pos and some fields of the bets of ws_session, null where a member or the field is null; only these leaves are read."""
+    whole = table(spark, d, "ws_session").select("line_no", *[F.col(f"data.bets.{f}").alias(f) for f in fields])
+    spread = whole.select("line_no", F.posexplode(F.arrays_zip(*fields)).alias("bet_pos", "bet"))
+    return spread.select("line_no", "bet_pos", *[F.col("bet")[f].alias(f) for f in fields])
+
+
 def _late_input(spark: SparkSession, d: str) -> DataFrame:
-    bets, features, session = table(spark, d, "bets"), table(spark, d, "feature_snapshots"), _session_bets(spark, d)
+    bets, features, session = table(spark, d, "bets"), table(spark, d, "feature_snapshots"), _session_fields(spark, d, "contractId", "createdTime", "probAfter")
     c = F.col
     parts = (
         late.records("bets", bets, c("market_id"), c("id"), F.lit(0), epoch_ns(c("ts_ns")), c("prob_after")),
         late.records("feature_snapshots", features, c("market_id"), c("id"), F.lit(0), c("ts_ns"), c("prob_velocity")),
         late.records(
-            "ws_session", session, c("bet.contractId"), c("line_no"), c("bet_pos"), F.try_multiply(c("bet.createdTime"), F.lit(10**6)), c("bet.probAfter")
+            "ws_session", session, c("contractId"), c("line_no"), c("bet_pos"), F.try_multiply(c("createdTime"), F.lit(10**6)), c("probAfter")
         ),
     )
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -122,7 +129,7 @@ def _stores(spark: SparkSession, d: str) -> tuple[RunStore, RunStore]:
     rows = table(spark, d, "bets").select(F.col("id").alias("row_id"), epoch_ns(F.col("ts_ns")).alias("instant"), *[c for c in BET_KEY if c != "instant"])
     bets.upsert(rows, "bets")
     session = RunStore(spark, ["bet_id"], ["row_id", "bet_pos"], required=["bet_id"])
-    rows = _session_bets(spark, d).select(F.col("line_no").alias("row_id"), "bet_pos", F.col("bet.id").alias("bet_id"))
+    rows = _session_fields(spark, d, "id").select(F.col("line_no").alias("row_id"), "bet_pos", F.col("id").alias("bet_id"))
     session.upsert(rows, "session")
     return bets, session
 
