@@ -350,9 +350,11 @@ def r_d20_dates(s, at):
 
 
 def r_w9_replay(s, at):
-    polls = table(s, at, "cross_source_snapshots").withColumn("ts_ns", d.iso_ns(c("polled_at"))).where("ts_ns is not null")
+    """The whole tables in one order; rows without an instant have no place in it."""
+    polls = table(s, at, "cross_source_snapshots").withColumn("ts_ns", d.iso_ns(c("polled_at")))
     sources = {"bet": bets(s, at), "feature": table(s, at, "feature_snapshots"), "cross_source": polls, "probability": table(s, at, "probability_snapshots")}
-    return replay.in_order(replay.replay(sources, MID_NS, END_NS)).select("ts_ns", "source_rank", "row_id", "source", "market_id")
+    timed = {k: v.where("ts_ns is not null") for k, v in sources.items()}
+    return replay.in_order(replay.replay(timed)).select("ts_ns", "source_rank", "row_id", "source", "market_id")
 
 
 def r_w10_entries(s, at):
