@@ -1,10 +1,11 @@
 """Matching entities across two sources without keys, by collective graph linkage.
 
 1. Every question is read into attributes (questions.py); rows with equal attributes are one class, so copies cost nothing later.
-2. Classes are nodes. Two classes of different sources are candidates if they share one of their rarest words, up to one slip, and agree in
-   what is asked and in the neighbourhood of the deadline. An edge weighs what its shared words are worth: the rarer they are, the more.
-   Blocks are keyed by all of that at once, so that no block grows with a hot word, event or date alone.
-3. Meta-blocking drops edges that are light beside the heaviest edge of both their ends.
+2. Classes are nodes. Two classes are candidates if one of the rarest words of the one is, up to one slip, any word of the other, and they
+   agree in what is asked and in the neighbourhood of the deadline. An edge weighs what its shared words are worth: the rarer, the more.
+   Blocks are keyed by all of that at once, so that no block grows with a hot word, event or date alone. Classes that are alike have a
+   counterpart for every word, so they always meet, however their words are spelt.
+3. Meta-blocking drops edges that are light beside the heaviest edge of both their ends, unless all of the rarest words met.
 4. An edge's similarity comes from its attributes and is refined by the mean similarity of the edges that share an end with it, round by
    round until no edge moves by more than STABLE.
 5. A class also gets the links of classes of its own source that it is one slip away from: two spellings that are both wrong meet in the
@@ -70,18 +71,19 @@ def _bare(word: Column) -> Column:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """class, side, word, worth, slot and a block key for each slip of a class's rarest words."""
+    """class, side, word, worth, day and a block key for each slip of a class's words; rare: the word is one of the `asks` rarest."""
     words = classes.select("class", "side", "kind", "against", "figure", "day", F.explode("words").alias("w")).withColumn("word", _bare(F.col("w")))
     rarity = words.groupBy("word").agg(F.count("*").alias("df")).withColumn("worth", 1.0 / F.log(F.col("df") + 1.7))
     ranked = words.join(rarity, "word").groupBy("class", "side", "kind", "against", "figure", "day").agg(
-        F.slice(F.sort_array(F.collect_set(F.struct("df", "word", "worth"))), 1, RARE_WORDS).alias("rarest")
+        F.sort_array(F.collect_set(F.struct("df", "word", "worth"))).alias("rarest")
     )
-    each = ranked.withColumn("r", F.explode("rarest")).select("class", "side", "kind", "against", "figure", "day", "r.word", "r.worth")
+    placed = ranked.select("*", F.least(F.size("rarest"), F.lit(RARE_WORDS)).alias("asks"), F.posexplode("rarest").alias("rank", "r"))
+    each = placed.select("class", "side", "kind", "against", "figure", "day", "r.word", "r.worth", "asks", (F.col("rank") < F.col("asks")).alias("rare"))
     n = F.length("word")
     cut = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.substring(F.col("word"), F.lit(1), k - 1), F.substring(F.col("word"), k + 1, n)))
-    slips = F.when(n >= 4, F.array_distinct(F.concat(F.array("word"), cut))).otherwise(F.array("word"))
+    slips = F.when(n >= 3, F.array_distinct(F.concat(F.array("word"), cut))).otherwise(F.array("word"))
     spread = each.withColumn("slip", F.explode(slips))
-    return spread.select("class", "side", "word", "worth", "day", F.xxhash64("kind", "against", "figure", "slip").alias("block"))
+    return spread.select("class", "side", "word", "worth", "day", "asks", "rare", F.xxhash64("kind", "against", "figure", "slip").alias("block"))
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -89,13 +91,16 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     keys = checkpointed(_keys(classes))
     slot = lambda s: F.floor((F.col("day") + s) / (MAX_DAYS + 1))
     slots = F.array_distinct(F.array(slot(-MAX_DAYS), slot(0), slot(MAX_DAYS)))
-    lefts = keys.select(F.col("class").alias("a"), F.col("side").alias("side_a"), "word", F.col("worth").alias("worth_a"), "block", F.explode(slots).alias("slot"))
+    asking = keys.where("rare")
+    lefts = asking.select(F.col("class").alias("a"), F.col("side").alias("side_a"), "asks", "word", F.col("worth").alias("worth_a"), "block", F.explode(slots).alias("slot"))
     rights = keys.select(F.col("class").alias("b"), F.col("side").alias("side_b"), F.col("worth").alias("worth_b"), "block", slot(0).alias("slot"))
     pairs = lefts.join(rights, ["block", "slot"]).where("side_a < side_b or (side_a = side_b and a < b)")
-    shared = pairs.groupBy("a", "b", "word").agg(F.max(F.least("worth_a", "worth_b")).alias("worth"), F.first(F.col("side_a") < F.col("side_b")).alias("across"))
-    edges = shared.groupBy("a", "b").agg(F.sum("worth").alias("weight"), F.first("across").alias("across"))
+    across = F.first(F.col("side_a") < F.col("side_b")).alias("across")
+    shared = pairs.groupBy("a", "b", "word").agg(F.max(F.least("worth_a", "worth_b")).alias("worth"), F.first("asks").alias("asks"), across)
+    whole = (F.count("*") == F.first("asks")).alias("whole")
+    edges = shared.groupBy("a", "b").agg(F.sum("worth").alias("weight"), F.first("across").alias("across"), whole)
     best = lambda c: F.max("weight").over(Window.partitionBy(c, "across"))
-    return edges.withColumn("best_a", best("a")).withColumn("best_b", best("b")).where(F.col("weight") >= LIGHT * F.least("best_a", "best_b"))
+    return edges.withColumn("best_a", best("a")).withColumn("best_b", best("b")).where(F.col("whole") | (F.col("weight") >= LIGHT * F.least("best_a", "best_b")))
 
 
 def similarity(a: list[str], b: list[str], days: int) -> float:

@@ -61,6 +61,15 @@ def test_two_wrong_spellings_meet_in_the_right_one(spark):
     assert set(got) == {("p", "m"), ("q", "m")} and got["p", "m"] < got["q", "m"]
 
 
+def test_slips_in_other_words_than_the_rarest(spark):
+    """Two slips take both places of the rarest words on one side; the other side's rarest are the two words without a slip."""
+    left = [("p", "Alpharo Bravoti Castelu Deltami rainfall > 120 mm", 10)]
+    more = [(f"x{k}", f"Alpharo Bravoti Sova{chr(97 + k)}nako rainfall > 120 mm", 500 + 9 * k) for k in range(5)]
+    right = [("m", "Rainfall in Alhparo Brvaoti Castelu Deltami above 120 millimetres?", 10)]
+    right += [("n", "Rainfall in Castelu Deltami Zornako above 120 millimetres?", 900)]
+    assert set(linked(spark, left + more, right)) == {("p", "m")}
+
+
 def test_a_hot_question(spark):
     """A third of all rows ask one thing; its copies are one node."""
     left = [(f"p{k}", "Rimoreno rainfall > 120 mm", 100) for k in range(60)] + [(f"x{k}", f"Over {k} mm rain for Sova{k // 26}{chr(97 + k % 26)}nako", 100) for k in range(100)]
