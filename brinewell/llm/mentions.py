@@ -164,8 +164,6 @@ def mentions(text: str) -> list[Mention]:
         known, inverse = given in GIVEN, (words[0] if comma else words[-1]) in GIVEN
         around = _around(plain, a, b)
         cued = any(c.startswith(("lw=", "rw=")) and c[3:] in _CUES for c in around)
-        if not (known or inverse or cued):
-            continue
         clues = [f"known={known}", f"inverse={inverse}", f"comma={comma}", f"known={known},comma={comma}"]
         clues += ["caps"] * v.isupper() + ["method"] * bool(METHOD_WORDS & set(words)) + [f"cued={cued},known={known}"]
         if words[0] in _CUES and not comma:

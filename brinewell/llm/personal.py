@@ -51,6 +51,11 @@ depot = geocode('{address}')
 {phone}
 owner: {name} {email}
 Thanks to {name} for the data.
+Reviewed by {name}, {x} {x}. {x} {x} {x} {name} {x} {x}.
+Asked by {name}, {x} {x}. {x} {x} {name} {x} {x}, {x} {name} {x}.
+Contact: {name}, {address}. {x} {x} {name} {x} {x}.
+{x} {x} {name} {x} {x}.
+Maintained by {name} ({email}). {x} {x} {x} {name} {x}.
 Gaussian Mixture and Random Forest agree here.
 Naive Bayes beats Kernel Ridge on this split.
 Markov Chain and Support Vector models were dropped.
@@ -137,6 +142,8 @@ def made_up(count: int = SAMPLES, seed: int = 5) -> Iterator[tuple[str, set[tupl
                 if part[:1] == "{" and slot in values:
                     places.add((slot, len(text), len(text) + len(values[slot])))
                     text += values[slot]
+                elif part == "{x}":
+                    text += "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 8)))
                 elif part[:2] == "{d":
                     text += _digits(r, "9" * int(slot[1]))
                 else:

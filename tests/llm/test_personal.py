@@ -33,6 +33,25 @@ def test_sentences(text, want):
     assert found(text) == want
 
 
+@pytest.mark.parametrize(
+    "text,places",
+    [
+        ("Ansprechpartner: Wei Chen, 7 Mill Lane, Tel. (0)30 23125-159\n| Wei Chen | x |", [17, 63]),
+        ("Contact: Priya Sharma, 7 Mill Lane. It stays noisy. In June Priya Sharma left for home.", [9, 60]),
+        ("Asked by Wei Chen, see below. Two of the plots come out of what Wei Chen sent.", [9, 64]),
+        ("It was seen that Priya Sharma <priya.sharma@example.org> wrote it", [17]),
+        ("0   Priya Sharma         priya@example.org       666-12-9096", [4]),
+    ],
+)
+def test_names_outside_the_list_without_a_cue(text, places):
+    assert [m.start for m in personal._decided(personal.trained(), [text])[0] if m.label == "name"] == places
+
+
+def test_every_name_is_a_candidate():
+    text = "The second table is due to Wei Chen and stays."
+    assert ["Wei Chen"] == [text[m.start : m.end] for m in mentions(text) if m.label == "name"]
+
+
 def test_made_up_documents_held_out():
     hit = missed = extra = 0
     for text, places in personal.made_up(150, seed=77):
