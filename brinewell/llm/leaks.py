@@ -150,8 +150,8 @@ def tiles(text: list[int], item: list[int], seeds: list[tuple[int, int]]) -> lis
     return sorted(out)
 
 
-def passages(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Chains of close tiles: (from, to in text, from, to in item, equal words); each tile is in one of them."""
+def passages(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Chains of close tiles, in order; each tile is in one of them."""
     best, before = [t[2] for t in parts], [-1] * len(parts)
     for y, (d, i, n) in enumerate(parts):
         for x in range(y - 1, -1, -1):
@@ -166,9 +166,21 @@ def passages(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int
             used.add(y)
             y = before[y]
         if chain:
-            (d, i, _), (a, b, m) = parts[chain[-1]], parts[chain[0]]
-            out.append((d, a + m, i, b + m, sum(parts[k][2] for k in chain)))
-    return [p for p in out if p[3] - p[2] >= MIN_PASSAGE]
+            out.append([parts[k] for k in reversed(chain)])
+    return [c for c in out if c[-1][1] + c[-1][2] - c[0][1] >= MIN_PASSAGE]
+
+
+def stretches(chains: list[list[tuple[int, int, int]]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """Of each passage (from, to in text, from, to in item, equal words), whole and behind each end of another one inside it in the item.
+
+    Tiles of different segments may share words of the item; these count once, and the rest of the passage still counts.
+    """
+    ends = sorted({c[-1][1] + c[-1][2] for c in chains})
+    for c in chains:
+        (d, i, _), (a, b, m) = c[0], c[-1]
+        for k in (i, *ends[bisect_right(ends, i) :]):
+            if k < b + m:
+                yield d, a + m, k, b + m, sum(max(0, min(n, j + n - k)) for _, j, n in c)
 
 
 def ordered_cover(found: list[tuple[int, int, int, int, int]], size: int) -> int:
@@ -216,7 +228,7 @@ def leaks_of(items: Items, text: str) -> Iterator[tuple[int, int, int]]:
             if pairs[b - 1][0] + SEED - pairs[a][0] >= MIN_PASSAGE - MAX_GAP:
                 found += passages(tiles(whole, item, pairs[a:b]))
         if found:
-            yield items.ids[k], ordered_cover(found, len(item)), len(item)
+            yield items.ids[k], ordered_cover(list(stretches(found)), len(item)), len(item)
 
 
 def _block_leaks(df: DataFrame, key: str, text: str, block: list[tuple[int, str | None]]) -> DataFrame:

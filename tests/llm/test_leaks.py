@@ -65,6 +65,12 @@ def test_ordered_cover_against_brute_force():
         assert leaks.ordered_cover(parts, 30) == best(0, 0)
 
 
+def test_passages_that_share_a_word_of_the_item():
+    w = R.sample(WORDS, 100)
+    filler = ["filler"] * 30
+    assert list(leaks.leaks_of(leaks.Items([(1, " ".join(w))]), " ".join([*w[:16], *filler, *w[15:40]]))) == [(1, 40, 100)]
+
+
 def test_tiles_do_not_overlap():
     item = [1, 2, 3, 4, 1, 2, 3, 4, 5]
     text = [9, 1, 2, 3, 4, 5, 1, 2, 3]
