@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brinewell.functions.instants import days_from_civil, last_day
+
 DAY_NS = 86_400_000_000_000
-ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$"
+# ISO 8601 in extended and basic form: calendar or week date, alone or with a time, whose smaller units may be missing, and an offset.
+ISO = (
+    r"(?s)\A(?:(?<y1>\d{4})-(?<m1>\d\d)-(?<d1>\d\d)|(?<y2>\d{4})(?<m2>\d\d)(?<d2>\d\d)|(?<y3>\d{4})-W(?<w1>\d\d)(?:-(?<u1>\d)(?!\d))?|(?<y4>\d{4})W(?<w2>\d\d)(?<u2>\d)?)"
+    r"(?:.(?<h1>\d\d)(?::(?<i1>\d\d)(?::(?<s1>\d\d)(?:[.,](?<f1>\d+))?)?|(?<i2>\d\d)(?:(?<s2>\d\d)(?:[.,](?<f2>\d+))?)?)?"
+    r"(?:Z|(?<sign>[+-])(?<oh>\d\d)(?::(?<om1>\d\d)(?::(?<os1>\d\d)(?:\.\d+)?)?|(?<om2>\d\d)(?:(?<os2>\d\d)(?:\.\d+)?)?)?)?)?\z|\A.*\z"
+)
+_ISO_PARTS = {
+    "y": "${y1}${y2}${y3}${y4}", "m": "${m1}${m2}", "d": "${d1}${d2}", "w": "${w1}${w2}", "u": "${u1}${u2}", "h": "${h1}", "i": "${i1}${i2}", "s": "${s1}${s2}",
+    "f": "${f1}${f2}", "sign": "${sign}", "oh": "${oh}", "om": "${om1}${om2}", "os": "${os1}${os2}",
+}
 
 # Needles in order, and the category a group slug that contains one stands for; the first needle that occurs wins.
 CATEGORY_NEEDLES = (
@@ -32,8 +43,32 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def iso_ns(text: Column) -> Column:
-    """ISO text to epoch nanoseconds by whole microseconds; no zone means UTC; null for anything else."""
-    return F.when(text.rlike(ISO), F.unix_micros(F.try_to_timestamp(text)) * 1000)
+    """ISO 8601 text to epoch nanoseconds by whole microseconds; a date alone is its midnight, no zone means UTC.
+
+    Any one sign may stand between date and time; digits beyond the microsecond are cut. Null for anything else, for impossible
+    dates and times, and for what 64 bits can't hold.
+    """
+    names = list(_ISO_PARTS)
+
+    def assembled(part: Column) -> Column:
+        number = lambda k: F.get(part, F.lit(names.index(k))).try_cast("int")
+        zero = lambda k: F.coalesce(number(k), F.lit(0))
+        y, m, d, week = number("y"), number("m"), number("d"), number("w")
+        fourth = days_from_civil(y, F.lit(1), F.lit(4))
+        monday = fourth - F.pmod(fourth + 3, F.lit(7))  # of the first week, which holds the fourth of January
+        following = days_from_civil(y + 1, F.lit(1), F.lit(4))
+        day = F.coalesce(number("u"), F.lit(1))
+        of_week = F.when(week.between(1, F.floor((following - F.pmod(following + 3, F.lit(7)) - monday) / 7)) & day.between(1, 7), monday + (week - 1) * 7 + day - 1)
+        days = F.when(week.isNotNull(), of_week).when(m.between(1, 12) & (d >= 1) & (d <= last_day(y, m)), days_from_civil(y, m, d))
+        zone = zero("oh") * 3600 + zero("om") * 60 + zero("os")
+        fine = (y >= 1) & (zero("h") <= 23) & (zero("i") <= 59) & (zero("s") <= 59) & (zone < 86_400)
+        offset = F.when(F.get(part, F.lit(names.index("sign"))) == "-", -zone).otherwise(zone)
+        seconds = days * 86_400 + zero("h") * 3600 + zero("i") * 60 + zero("s") - offset
+        micros = F.coalesce(F.rpad(F.substring(F.get(part, F.lit(names.index("f"))), 1, 6), 6, "0").try_cast("bigint"), F.lit(0))
+        return F.when(fine, F.try_add(F.try_multiply(seconds, F.lit(1_000_000_000).cast("bigint")), micros * 1000))
+
+    parts = F.split(F.regexp_replace(text, F.lit(ISO), F.lit("\x01".join(_ISO_PARTS.values()))), "\x01")
+    return F.get(F.transform(F.array(parts), assembled), F.lit(0))
 
 
 def ms_to_iso(ms: Column) -> Column:

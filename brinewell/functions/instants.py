@@ -66,7 +66,8 @@ def _regions() -> tuple[str, ...]:
 
 def epoch_ns(value: Column) -> Column:
     """Nanoseconds of an epoch number whose unit shows in its size; null for null, 0 and what 64 bits can't hold."""
-    v, size = value.cast("bigint"), F.abs(value.cast("bigint"))
+    v = value.cast("bigint")
+    size = F.abs(F.greatest(v, F.lit(-(2**63) + 1)))  # the least number of 64 bits has no absolute value
     scale = F.when(size < 10**11, F.lit(NANOS)).when(size < 10**14, F.lit(10**6)).when(size < 10**17, F.lit(1000)).otherwise(F.lit(1))
     return F.when(v != 0, F.try_multiply(v, scale.cast("bigint")))
 
@@ -79,7 +80,7 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     return (era_years + of_year - 719_468).cast("bigint")
 
 
-def _last_day(y: Column, m: Column) -> Column:
+def last_day(y: Column, m: Column) -> Column:
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     return F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
 
@@ -113,7 +114,7 @@ def instant_columns(df, source: str, out: str):
     y, m, d, h = number("y"), F.col(month), number("d"), F.col(hour)
     minute, second, oh, om = (F.coalesce(number(k), F.lit(0)) for k in ("i", "s", "oh", "om"))
     valid = (
-        y.between(1678, 2261) & m.between(1, 12) & (d >= 1) & (d <= _last_day(y, m)) & h.between(0, 23) & minute.between(0, 59)
+        y.between(1678, 2261) & m.between(1, 12) & (d >= 1) & (d <= last_day(y, m)) & h.between(0, 23) & minute.between(0, 59)
         & second.between(0, 59) & (oh <= 18) & (om <= 59)
     )
     df = df.withColumn(local, once(F.when(valid, days_from_civil(y, m, d) * 86_400 + h * 3600 + minute * 60 + second)))
@@ -126,8 +127,8 @@ def instant_columns(df, source: str, out: str):
         .when(region.isin(*_regions()), F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(at), region)))
     )
     nine = lambda k: F.coalesce(F.rpad(F.substring(text(k), 1, 9), 9, "0").try_cast("bigint"), F.lit(0))
-    size = F.abs(F.col(whole))
+    size = F.abs(F.greatest(F.col(whole), F.lit(-(2**63) + 1)))
     shift = F.when(size < 10**11, 1).when(size < 10**14, 1000).when(size < 10**17, 10**6).otherwise(10**9).cast("bigint")
-    numeric = epoch_ns(F.col(whole)) + F.signum(F.col(whole)).cast("bigint") * F.floor(nine("nf") / shift).cast("bigint")
-    df = df.withColumn(out, once(F.when(F.col(whole).isNotNull(), numeric).otherwise(seconds * NANOS + nine("f"))))
+    numeric = F.try_add(epoch_ns(F.col(whole)), F.signum(F.col(whole)).cast("bigint") * F.floor(nine("nf") / shift).cast("bigint"))
+    df = df.withColumn(out, once(F.when(F.col(whole).isNotNull(), numeric).otherwise(F.try_add(F.try_multiply(seconds, F.lit(NANOS).cast("bigint")), nine("f")))))
     return df.drop(part, num, month, hour, local, whole)

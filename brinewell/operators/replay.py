@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from brinewell.functions.domain import iso_ns
 
-SOURCES = ("bet", "model_prediction", "feature", "cross_source", "probability")
+# The sources in the order in which they come at equal times.
+SOURCES = ("bet", "probability", "feature", "model_prediction", "cross_source")
 
 
 def time_range(df: DataFrame, start_ns: int | None = None, end_ns: int | None = None, column: str = "ts_ns") -> DataFrame:

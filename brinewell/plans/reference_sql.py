@@ -33,11 +33,19 @@ _FACT = "f as (select market_id, ts_ns, arg_max(probability, id) as probability
 _DOMAIN = f"""dom as (select s.line_no, s.bet_pos, bet.contractId as market_id, greatest(bet.createdTime, 0) * 1000000 as ts_ns, bet.probBefore as prob_before,
   bet.probAfter as prob_after, bet.amount as amount, bet.shares as shares, cast(bet.limitProb is not null as integer) as is_limit_order
   from ({_SESSION}) s join ws_session w on w.line_no = s.line_no where w.type = 'broadcast')"""
-_ISO = r"'^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$'"
+_ISO = (
+    r"^(\d{4}-\d\d-\d\d|\d{8})(?:.(\d\d)(?::(\d\d)(?::(\d\d)(?:[.,](\d+))?)?|(\d\d)(?:(\d\d)(?:[.,](\d+))?)?)?(?:(Z)|([+-]\d\d)(?::?(\d\d)(?::?\d\d(?:\.\d+)?)?)?)?)?$"
+)
+_ISO_NAMES = "'date', 'h', 'i', 's', 'f', 'i2', 's2', 'f2', 'z', 'oh', 'om'"
 
 
 def _iso(column: str) -> str:
-    return f"case when regexp_matches({column}, {_ISO}) then epoch_us(try_cast({column} as timestamptz)) * 1000 end"
+    """ISO text with a calendar date; week dates and seconds in offsets do not occur in the tables."""
+    two = lambda *k: "coalesce(" + ", ".join(f"nullif(p.{x}, '')" for x in k) + ", '00')"
+    text = f"strftime(d, '%Y-%m-%d') || ' ' || {two('h')} || ':' || {two('i', 'i2')} || ':' || {two('s', 's2')} || '.' || rpad(left(p.f || p.f2, 6), 6, '0') || {two('oh').replace('00', '+00')} || ':' || {two('om')}"
+    day = "try_strptime(replace(p.date, '-', ''), '%Y%m%d')"
+    return f"""(select case when p.date <> '' and {two('h')} < '24' and {two('oh').replace('00', '+00')}[2:] < '24' and {two('om')} < '60' then epoch_us(try_cast({text} as timestamptz)) * 1000 end
+  from (select p, {day} as d from (select regexp_extract({column}, '{_ISO}', [{_ISO_NAMES}], 's') as p)))"""
 
 
 def _w(*parts: str) -> str:
@@ -62,7 +70,7 @@ _COUNT = """cf as (select id, market_id, ts_ns, prob_after, count(*) over w as n
   i as (partition by market_id order by ts_ns, id rows between 23 preceding and current row)),
 cg as (select id, market_id, case when n >= 2 and ts_ns > ft then (prob_after - fp) / (cast(ts_ns - ft as double) / 1e9) else 0 end as velocity,
   case when n >= 2 and ts_ns > ft then n / (cast(ts_ns - ft as double) / 1e9) else 0 end as rate, case when nd >= 2 then sd else 0 end as vol from cf)"""
-_FILL = f"""sg as (select id, market_id, ts_ns, case when id % 100 = 0 then 'YES' else 'NO' end as side from b where id % 50 = 0),
+_FILL = f"""sg as (select id, market_id, ts_ns, case when id % 100 = 0 then 'YES' else 'NO' end as side from b),
 ex as (select sg.id, sg.market_id, sg.side, f.probability as fill_price from sg asof join f on sg.market_id = f.market_id and sg.ts_ns + {HOUR} >= f.ts_ns),
 fl as (select *, case when fill_price > 0 and fill_price < 1 then 200.0 / (1 + (fill_price * 0.5) / (0.5 * (1 - fill_price))) end as yes from ex),
 fm as (select *, 200.0 - yes as no from fl),
@@ -130,7 +138,7 @@ and f.ts_ns = (select max(ts_ns) from feature_snapshots g where g.market_id = f.
 left join (select market_id, count(*) as c from p group by 1) k using (market_id)""",
     "r_j4_asof": _w(_B, _P, _FACT) + "select b.id, b.market_id, b.ts_ns, f.probability as price from b asof left join f on b.market_id = f.market_id and b.ts_ns >= f.ts_ns",
     "r_j5_latency": _w(_B, _P, _FACT) + f"""select x.id, x.market_id, x.ts_ns, x.signal_price, x.exec_ns, f.probability as fill_price from (select b.id, b.market_id, b.ts_ns, f.probability as signal_price,
-b.ts_ns + {HOUR} as exec_ns from (select * from b where id % 10 = 0) b asof left join f on b.market_id = f.market_id and b.ts_ns >= f.ts_ns) x
+b.ts_ns + {HOUR} as exec_ns from b asof left join f on b.market_id = f.market_id and b.ts_ns >= f.ts_ns) x
 asof left join f on x.market_id = f.market_id and x.exec_ns >= f.ts_ns""",
     "r_j6_timeline": _w(_P, _FACT, _L, _TICKS) + "select * from line",
     "r_j7_divergence": _w(_P, _N, _E, _C, _D) + "select *, case when edge > 0 then 'manifold_higher' else 'polymarket_higher' end as direction from dv",
@@ -176,8 +184,8 @@ cast(floor(sum(pnl) / (count(*) * 10.0) * 1e6 + 0.5) as bigint) as roi_e6 from s
     "r_d18_iso": f"select id, {_iso('polled_at')} as ts_ns from cross_source_snapshots",
     "r_d20_dates": _w(_B) + "select strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d') as dt, count(*) as n from b group by 1",
     "r_w9_replay": _w(_B) + f"""select * from (select ts_ns, cast(0 as integer) as source_rank, id as row_id, 'bet' as source, market_id from b
-union all select ts_ns, 2, id, 'feature', market_id from feature_snapshots union all select {_iso('polled_at')}, 3, id, 'cross_source', market_id from cross_source_snapshots
-union all select ts_ns, 4, id, 'probability', market_id from probability_snapshots) where ts_ns between {MID} and {END}""",
+union all select ts_ns, 1, id, 'probability', market_id from probability_snapshots union all select ts_ns, 2, id, 'feature', market_id from feature_snapshots
+union all select {_iso('polled_at')}, 4, id, 'cross_source', market_id from cross_source_snapshots) where ts_ns is not null""",
     "r_w10_entries": _w(_P, _FACT, _L, _TICKS, _ENTRY) + "select * from en",
     "r_a11_entry_counts": _w(_P, _FACT, _L, _TICKS, _ENTRY) + "select constraint_id, count(*) as n from en group by 1",
     "r_w11_picks": _w(_B, _O) + """select id, market_id, cast(place as bigint) as place from o where place < n // 2 and place % greatest(1, (n // 2) // 5) = 0 and place // greatest(1, (n // 2) // 5) < 5""",

@@ -68,3 +68,8 @@ def test_numbers(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, v bigint")
     got = [r.n for r in rows.select("i", epoch_ns(F.col("v")).alias("n")).orderBy("i").collect()]
     assert got == [None, None, 1520121666 * 10**9, 1520121602901 * 10**6, 1520121615628000 * 1000, 1520121600000000123, -1520121666 * 10**9]
+
+
+def test_epoch_numbers_at_the_ends_of_64_bits(spark):
+    rows = spark.createDataFrame([(-(2**63),), (2**63 - 1,), (-(2**63) + 1,), (10**16,), (0,), (None,)], "v bigint")
+    assert [r[0] for r in rows.select(epoch_ns(F.col("v"))).collect()] == [-(2**63), 2**63 - 1, -(2**63) + 1, None, None, None]

@@ -1,3 +1,5 @@
+from datetime import UTC, datetime
+
 import json
 import random
 
@@ -50,6 +52,13 @@ def test_latency(spark):
 # replay ----------------------------------------------------------------------------------------------------------------------
 
 
+def test_replay_tie_of_all_sources(spark):
+    at = lambda n: spark.createDataFrame([(k, "m", 7) for k in (2, 1)], "id bigint, market_id string, ts_ns bigint")
+    names = ["cross_source", "model_prediction", "feature", "probability", "bet"]
+    got = [(r.source, r.row_id) for r in replay.in_order(replay.replay({n: at(n) for n in names})).collect()]
+    assert got == [(n, k) for n in ("bet", "probability", "feature", "model_prediction", "cross_source") for k in (1, 2)]
+
+
 def test_replay_order_and_bounds(spark):
     at = lambda t, n: spark.createDataFrame([(1, "m", t, n)], "id bigint, market_id string, ts_ns bigint, x string")
     sources = {"bet": at(0, "b"), "model_prediction": at(0, "p"), "feature": at(1, "f"), "cross_source": at(1, "c"), "probability": at(2, "s")}
@@ -261,9 +270,27 @@ def test_reports(spark, tmp_path):
 # scalar functions ------------------------------------------------------------------------------------------------------------
 
 
+def test_iso_reads_what_the_standard_library_reads(spark):
+    days = ["2018-04-21", "20180421", "2018-W16-6", "2018W166", "2018-W16", "2018W53", "2020-W53-7", "2018-02-29", "2020-02-29", "0000-01-01", "2018-W16-8", "201804", "2018-4-21"]
+    times = ["", "T12", "T12:30", "x1230", " 12:30:15", "T123015", "T12:30:15.1", "T12:30:15,123456789", "T123015.25", "T25:00", "T12:60", "T12:3", "T"]
+    zones = ["", "Z", "+00:00", "-0530", "+05", "+05:30:15", "-23:59", "+24:00", "+05:60", " UTC"]
+    texts = [a + b + z for a in days for b in times for z in zones]
+
+    def want(t):
+        try:
+            at = datetime.fromisoformat(t)
+        except ValueError:
+            return None
+        gap = (at if at.tzinfo else at.replace(tzinfo=UTC)) - datetime(1970, 1, 1, tzinfo=UTC)
+        return ((gap.days * 86_400 + gap.seconds) * 10**6 + gap.microseconds) * 1000
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", d.iso_ns(c("t")).alias("ns")).collect()
+    assert [(r.t, r.ns, want(r.t)) for r in got if r.ns != want(r.t)] == []
+
+
 def test_times(spark):
     rows = spark.createDataFrame([("2018-04-21T12:00:00.123000+00:00",), ("2018-04-21T12:00:00Z",), ("2018-04-21 12:00:00",), ("2018-04-21",), ("",), (None,), ("2018-02-30T00:00:00Z",)], "t string")
-    assert [r[0] for r in rows.select(d.iso_ns(c("t"))).collect()] == [1524312000123000000, 1524312000000000000, 1524312000000000000, None, None, None, None]
+    assert [r[0] for r in rows.select(d.iso_ns(c("t"))).collect()] == [1524312000123000000, 1524312000000000000, 1524312000000000000, 1524268800000000000, None, None, None]
     ms = spark.createDataFrame([(None,), (0,), (1524312000000,), (1524312000123,)], "ms bigint")
     assert [r[0] for r in ms.select(d.ms_to_iso(c("ms"))).collect()] == ["", "", "2018-04-21T12:00:00+00:00", "2018-04-21T12:00:00.123000+00:00"]
     assert one(spark, a=d.ns_to_date(F.lit(-1)), b=d.ns_to_date(F.lit(86_400 * 10**9))).asDict() == {"a": "1969-12-31", "b": "1970-01-02"}
