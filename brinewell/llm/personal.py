@@ -1,7 +1,7 @@
 """Personal information inside free text: finding it and putting typed placeholders in its place.
 
 Candidates come from mentions.py; the skip-chain field of skipchain.py decides which are meant. It is trained when a query is built, on
-SAMPLES made-up documents (a fixed number, whatever the corpus) of the sentences below, with invented values.
+SAMPLES made-up documents (a fixed number, whatever the corpus) of madeup.py.
 
 Defined results: null and empty texts have no mentions and stay as they are; a value counts once a document; of overlapping mentions the one
 that starts first is replaced, then the longer one; everything outside the mentions stays as it is, byte for byte; texts are read whole.
@@ -9,8 +9,6 @@ that starts first is replaced, then the longer one; everything outside the menti
 
 from __future__ import annotations
 
-import random
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,140 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinewell.llm.mentions import GIVEN, Mention, mentions
+from brinewell.llm.madeup import made_up
+from brinewell.llm.mentions import Mention, mentions
 from brinewell.llm.skipchain import SkipChain
 
-SAMPLES = 700
+SAMPLES = 4000
 BATCH_CHARS = 4 << 20
 
-_SENTENCES = """__author__ = '{name} <{email}>'
-Maintained by {name} ({email}).
-**Author:** {name}  \\n**Contact:** {phone}
-Contact: {name}, {address}, Tel. {phone}
-Ansprechpartner: {name}, {address}, Tel. {phone}
-Contacto: {name} - DNI {identity} - {email}
-Relu par {name}, {address}.
-Reviewed by {name}, see the notes.
-We asked {name} to look at it again.
-Please send the samples to {address}; {name} signs for them.
-The depot moved from {address} last month.
-Questions? Call {phone} or write to <{email}>.
-{'person': '{name}', 'phone': '{phone}', 'home': '{address}'}
-contact = {'mail': '{email}', 'tel': '{phone}'}
-df.loc[df.person == '{name}', 'ssn'] = '{identity}'
-# TODO({name}): check the join, {phone}
-ValueError: could not parse identity number '{identity}' of {name}
-KeyError: '{email}'
-| {name} | {identity} | {address} |
-0   {name}         {email}       {identity}
-1   {phone}         {address}
-Form used for the trial: Name: {name} / ID no. {identity} / Tel. {phone}
-ids = ['{identity}', 'n/a', None]  # identity numbers of the trial
-depot = geocode('{address}')
-{phone}
-owner: {name} {email}
-Thanks to {name} for the data.
-Reviewed by {name}, {x} {x}. {x} {x} {x} {name} {x} {x}.
-Asked by {name}, {x} {x}. {x} {x} {name} {x} {x}, {x} {name} {x}.
-Contact: {name}, {address}. {x} {x} {name} {x} {x}.
-{x} {x} {name} {x} {x}.
-Maintained by {name} ({email}). {x} {x} {x} {name} {x}.
-Gaussian Mixture and Random Forest agree here.
-Naive Bayes beats Kernel Ridge on this split.
-Markov Chain and Support Vector models were dropped.
-Monte Carlo with 310 Oak splits; Fourier Transform on lane 7.
-Die Tabelle zeigt die Werte. Erste Auswertung folgt.
-GROUP BY 1 ORDER BY n DESC
-WRITTEN BY THE LANE, NAME THE HERON THAT STAYS
-THE QUAY IS KEPT FOR LUCK, BECAUSE THE OAR
-THE MILLER PAINTS FOUR OARS OUT OF HABIT, UNLESS THE URN BY THE SLUICE MENDS
-A LANTERN SELLS TWELVE KILNS ASKED BY NOBODY, CRATES FROM THE FORGE WAIT
-NOTE OF CAUTION, KEEP THE WAREHOUSE CLEAN
-SELECT {d1} FROM STORE WHERE QTY > {d2}
-Call The Model. From This Table By Any Name.
-Fields are masked as <EMAIL> and <PHONE> upstream.
-batch = '555-{d4}-{d2}'  # not dialled
-order {d9}-{d2} shipped
-# run-{d4}-{d3}-{d4}
-params = dict(lr=3e-4, depth=3, seed={d9}, tag='shard-v3')
-W = A @ B.T  # scaled
-y = f(x)@res.T; z = 'user@'
-@cache(maxsize={d2})
-git clone ssh://mirror/depot @{d4}ab
-0      {d3}.{d4}       {d3}{d3}
-1      {d3}.{d4}       {d3}{d2}
-array([0.{d4}{d4}, -1.{d4}{d4}])
-2018-0{d1}-12 0{d1}:15:00  {d3}{d4}.5  {d3}{d4}
-Fixed in version {d2}.{d2}.{d3}, commit {d4}abc.
-ticket {d4} {d4} closed
-checksum {d9} ok
-The model of table {d1} is noisy; trust the trace.
-In [{d1}]: frame.head({d2})"""
-
-_STEMS = ("Bram", "Corv", "Dolm", "Fenwick", "Garth", "Holl", "Jessam", "Kest", "Lomb", "Morv", "Nettl", "Ostr", "Prask", "Quill", "Rostr", "Selv", "Tamb", "Ulv")
-_ENDS = ("son", "er", "ini", "ov", "ez", "sen", "ley", "ard", "mann", "ska", "stedt", "oux", "ahl", "well")
-_HOSTS = ("example.org", "mail.example", "lab.test", "uni.example", "firm.invalid", "sub.example.com")
-
-
-def _surname(r: random.Random) -> str:
-    one = lambda: r.choice(_STEMS) + r.choice(_ENDS)
-    return f"{one()}-{one()}" if r.random() < 0.1 else one()
-
-
-def _digits(r: random.Random, pattern: str) -> str:
-    return re.sub("9", lambda _: str(r.randrange(10)), pattern)
-
-
-def _values(r: random.Random) -> dict[str, str]:
-    given = r.choice(sorted(GIVEN)).capitalize() if r.random() < 0.85 else (r.choice(_STEMS) + "a")
-    surname = _surname(r)
-    initial = f" {r.choice('ABCDEHKLMRST')}." if r.random() < 0.12 else ""
-    name = f"{surname}, {given}{initial}" if r.random() < 0.18 else f"{given}{initial} {surname}"
-    local = r.choice((f"{given}.{surname}", f"{given[0]}{surname}", f"{surname}{r.randrange(99)}", f"{given}_{surname}+x", f"{given}-{surname[:4]}")).lower()
-    host = r.choice(_HOSTS)
-    email = f"{local}@{host}"
-    if r.random() < 0.15:
-        email = r.choice((f"{local} (at) {host}", f"{local} [at] {host.replace('.', ' [dot] ')}"))
-    if r.random() < 0.1:
-        name = name.upper()
-    phones = ("+1 999 555 9999", "+19995559999", "999-555-9999", "999.555.9999", "(999) 555-9999", "+44 99 9999 9999", "+44 (0)9999 999999",
-              "099 9999 9999", "09999 999 999", "0049-99-99999999", "+49 99 99999 999", "(0)99 99999-999", "+33 9 99 99 99 99", "+34 999 99 99 99",
-              "001 999 555 9999", "0999-9999999", "+48 999 999 999", "+39 06 9999 9999")
-    letters = "".join(r.choice("ABCEGHJKLM") for _ in range(3))
-    identities = ("999-99-9999", "999 99 9999", "999999999", f"{letters[:2]} 99 99 99 {letters[2]}", f"{letters[:2]}999999{letters[2]}",
-                  f"{letters[0]}999{letters[1]}9999", f"99999999{letters[0]}", f"99999999-{letters[0]}")
-    street = r.choice(_STEMS) + r.choice(("moor", "gate", "field", "combe"))
-    addresses = (f"999 {street} Lane", f"99 {street} Rd.", f"999a {street} Street", f"99 {street} Avenue, Apt 9B", f"Flat 9, 99 {street} Close",
-                 f"999 W. {street} Blvd", f"99 rue {street}", f"99 bis, avenue {street}", f"Calle {street} 99", f"{street}straße 99", f"{street}weg 9b")
-    return {
-        "name": name, "email": email if r.random() > 0.1 else email.upper(), "phone": _digits(r, r.choice(phones)),
-        "identity": _digits(r, r.choice(identities)), "address": _digits(r, r.choice(addresses)),
-    }
-
-
-def made_up(count: int = SAMPLES, seed: int = 5) -> Iterator[tuple[str, set[tuple[str, int, int]]]]:
-    """Texts with the places of what is meant in them."""
-    r = random.Random(seed)
-    sentences = _SENTENCES.split("\n")
-    for _ in range(count):
-        own, text, places = _values(r), "", set()
-        for _ in range(r.randint(2, 7)):
-            values = own if r.random() < 0.6 else _values(r)
-            for part in re.split(r"(\{\w+\})", r.choice(sentences)):
-                slot = part[1:-1]
-                if part[:1] == "{" and slot in values:
-                    places.add((slot, len(text), len(text) + len(values[slot])))
-                    text += values[slot]
-                elif part == "{x}":
-                    text += "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 8)))
-                elif part[:2] == "{d":
-                    text += _digits(r, "9" * int(slot[1]))
-                else:
-                    text += part
-            text += r.choice(("\n\n", "\n", " ", '"]}, {"source": ["', " It stays noisy. ", "\n# "))
-        yield text, places
-
-
 @lru_cache(maxsize=1)
 def trained(samples: int = SAMPLES) -> SkipChain:
     documents, meant = [], []
