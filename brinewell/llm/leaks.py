@@ -2,11 +2,13 @@
 
 Texts and items become words without case, markup, escapes and invisible characters; a word one edit away from a word of the items
 counts as that word. Seeds are runs of SEED equal words, found by Karp-Rabin fingerprints over the whole text at once and verified.
-Around its seeds each item is tiled: the longest run of equal words that is still unmarked on both sides is marked, again and again.
+Around its seeds each item is tiled: the longest run of equal words that is still unmarked in the text is marked, again and again.
 Tiles that follow each other closely on both sides are one passage; what is shorter than MIN_PASSAGE words is dropped. The passages
-that lie in the item's order cover a part of the item; from min_share on the text leaks the item.
+that lie in the item's order cover a part of the item; from min_share on the text leaks the item. An item is tiled only if its seeds could cover
+that part: each seed has SEED words, so it needs a SEED-th of the words that it must cover.
 
-The items are the stated query set: they are worked on in blocks of at most BLOCK_ITEMS, each of which is small enough to broadcast.
+The items are the stated query set. They are looked up in sorted arrays of 16 bytes a word and 12 bytes a spelling; the texts are read once for every
+MAX_BLOCK_CHARS characters of items.
 
 Defined results: null and empty texts leak nothing; items without a word are never found; items with equal text are all reported; a
 passage that occurs several times in a text counts once; texts of any length are read to their end.
@@ -18,7 +20,6 @@ import html
 import re
 import unicodedata
 from bisect import bisect_right
-from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
@@ -27,13 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-SEED = 3
-MIN_SEEDS = 4
+SEED = 2
 MIN_PASSAGE = 8
 MAX_GAP = 4
 SEGMENT_GAP = 16
-BLOCK_ITEMS = 5000
 MAX_BLOCK_CHARS = 32 << 20
 REMEMBERED = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,8 +44,9 @@ _INVISIBLE = re.compile(
 _COMBINING = re.compile(f"[{chr(0x300)}-{chr(0x36F)}]")
 _CODE_ESCAPE = re.compile(r"\\+u([0-9a-fA-F]{4})")
 _BLANK_ESCAPE = re.compile(r"\\+[nrtfv]")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
-_HYPHEN = re.compile(f"(?<=[a-z])[-{chr(0x2010)}{chr(0x2011)}]" + r"""(?:(?=[a-z])|[ \t#>"',/*]{0,80}\n[\s#>"',/*]{0,80}(?=[a-z]))""")
+# A tag with its attributes; their quotes may be escaped.
+_TAG = re.compile(r"""</?[a-zA-Z][\w:-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:\\*+"[^"]*+"|\\*+'[^']*+'|[^\s"'=<>`]++))?+)*+\s*+/?>""")
+_HYPHEN = re.compile(f"(?<=[a-z])[-{chr(0x2010)}{chr(0x2011)}]" + r"""(?:(?=[a-z])|[ \t#>"',/*]*+\n[\s#>"',/*]*+(?=[a-z]))""")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -67,34 +68,58 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+def spellings(word: str) -> list[str]:
+    """The word and what is left of it without one letter; words one edit apart share one of these."""
+    return [word, *{word[:k] + word[k + 1 :] for k in range(len(word))}]
+
+
 class Items:
     """The items of a block, ready to be looked up."""
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         self.ids: list[int] = []
         self.codes: dict[str, int] = {}
-        self.texts: list[list[int]] = []
+        texts: list[np.ndarray] = []
         for i, text in rows:
             if w := words(text or ""):
                 self.ids.append(i)
-                self.texts.append([self.codes.setdefault(x, len(self.codes)) for x in w])
-        self.near: dict[str, list[str]] = defaultdict(list)
-        for w in self.codes:
-            if len(w) >= 4 and w.isalpha():
-                for v in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}:
-                    self.near[v].append(w)
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, t in enumerate(self.texts):
-            for at, h in enumerate(fingerprints(np.array(t, np.int64)).tolist()):
-                self.seeds[h].append((k, at))
-        self.hashes = np.array(sorted(self.seeds), np.uint64)
+                texts.append(np.array([self.codes.setdefault(x, len(self.codes)) for x in w], np.int64))
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.whole = np.concatenate([*texts, np.empty(0, np.int64)])
+        prints = [fingerprints(t) for t in texts]
+        where = [np.arange(len(p), dtype=np.int32) for p in prints]
+        hashes = np.concatenate([*prints, np.empty(0, np.uint64)])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.item = np.repeat(np.arange(len(texts), dtype=np.int32), [len(p) for p in prints])[order]
+        self.place = np.concatenate([*where, np.empty(0, np.int32)])[order]
+        spelled = [(v, c) for w, c in self.codes.items() if len(w) >= 4 and w.isalpha() for v in spellings(w)]
+        near = np.array([xxh3_64_intdigest(v) for v, _ in spelled], np.uint64)
+        order = np.argsort(near, kind="stable")
+        self.near, self.near_code = near[order], np.array([c for _, c in spelled], np.int32)[order]
+        self.longest = max((len(w) for w in self.codes), default=0)
+        self._ready()
+
+    def _ready(self) -> None:
+        self.words = list(self.codes)
         self.memory = dict(self.codes)
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "memory")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._ready()
+
     def code(self, word: str) -> int:
         """The code of the word of the items that is meant, or -1."""
         found = -1
-        if 4 <= len(word) <= 24 and word.isalpha():
-            close = {c for v in (word, *(word[:k] + word[k + 1 :] for k in range(len(word)))) for c in self.near.get(v, ()) if abs(len(c) - len(word)) <= 1}
+        if 4 <= len(word) <= self.longest + 1 and word.isalpha():
+            asked = np.array([xxh3_64_intdigest(v) for v in spellings(word)], np.uint64)
+            low, high = np.searchsorted(self.near, asked), np.searchsorted(self.near, asked, "right")
+            close = {self.words[c] for a, b in zip(low.tolist(), high.tolist()) for c in self.near_code[a:b].tolist()}
+            close = {c for c in close if abs(len(c) - len(word)) <= 1 and set(spellings(c)) & set(spellings(word))}
             if close:
                 found = self.codes[min(close, key=lambda c: (c[0] != word[0], abs(len(c) - len(word)), c))]
         if len(self.memory) >= REMEMBERED:
@@ -110,6 +135,20 @@ class Items:
             out = [self.code(w[k]) if c == -2 else c for k, c in enumerate(out)]
         return np.array(out, np.int64)
 
+    def seeds(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, place in the text and place in the item of every run of SEED words that both have."""
+        prints = fingerprints(codes)
+        low = np.searchsorted(self.hashes, prints)
+        d = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == prints) if len(self.hashes) else np.empty(0, np.int64)
+        low = low[d]
+        count = np.searchsorted(self.hashes, prints[d], "right") - low
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        d, k, i = np.repeat(d, count), self.item[at], self.place[at]
+        same = np.ones(len(d), bool)
+        for n in range(SEED):
+            same &= codes[d + n] == self.whole[self.starts[k] + i + n]
+        return k[same], d[same], i[same]
+
 
 def fingerprints(codes: np.ndarray) -> np.ndarray:
     """The Karp-Rabin fingerprint of each run of SEED words; unknown words are never part of an equal run."""
@@ -123,7 +162,11 @@ def fingerprints(codes: np.ndarray) -> np.ndarray:
 
 
 def tiles(text: list[int], item: list[int], seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from seeds: (place in text, place in item, length), no word in two tiles."""
+    """Greedy string tiling from seeds: (place in text, place in item, length), no word of the text in two tiles.
+
+    Words of the item stay free for other stretches of the text: where it carries a passage twice, each with other words changed, tiles of the one must not
+    break up the other. ordered_cover() counts them once.
+    """
     known, runs = set(), []
     for d, i in sorted(seeds):
         if (d - 1, i - 1) not in known:
@@ -133,14 +176,13 @@ def tiles(text: list[int], item: list[int], seeds: list[tuple[int, int]]) -> lis
             runs.append((-n, d, i))
         known.add((d, i))
     heapify(runs)
-    taken_text, taken_item, out = set(), set(), []
+    taken, out = set(), []
     while runs:
         n, d, i = heappop(runs)
         n = -n
-        free = [d + k not in taken_text and i + k not in taken_item for k in range(n)]
+        free = [d + k not in taken for k in range(n)]
         if all(free):
-            taken_text.update(range(d, d + n))
-            taken_item.update(range(i, i + n))
+            taken.update(range(d, d + n))
             out.append((d, i, n))
             continue
         edges = [-1, *(k for k in range(n) if not free[k]), n]
@@ -201,37 +243,36 @@ def ordered_cover(found: list[tuple[int, int, int, int, int]], size: int) -> int
     return top
 
 
-def leaks_of(items: Items, text: str) -> Iterator[tuple[int, int, int]]:
-    """(item id, covered words, words of the item) for every item with a passage in the text."""
+def leaks_of(items: Items, text: str, min_share: float = 1 / 3) -> Iterator[tuple[int, int, int]]:
+    """(item id, covered words, words of the item) for every item that could reach min_share of its words in passages of the text."""
     codes = items.encode(text)
-    prints = fingerprints(codes)
-    if not len(prints) or not len(items.hashes):
+    k, d, i = items.seeds(codes)
+    if not len(k):
         return
-    at = np.searchsorted(items.hashes, prints)
-    hits = np.flatnonzero(items.hashes[np.minimum(at, len(items.hashes) - 1)] == prints)
-    if len(hits) < MIN_SEEDS:
+    places = np.unique(items.starts[k] + i)
+    owner = np.searchsorted(items.starts, places, "right") - 1
+    enough = np.bincount(owner, minlength=len(items.sizes)) * SEED >= items.sizes * min_share
+    use = enough[k]
+    if not use.any():
         return
-    seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    k, d, i = k[use], d[use], i[use]
+    order = np.lexsort((i, d, k))
+    k, d, i = k[order], d[order], i[order]
     whole = codes.tolist()
-    for d in hits.tolist():
-        for k, i in items.seeds[int(prints[d])]:
-            if items.texts[k][i : i + SEED] == whole[d : d + SEED]:
-                seeds[k].append((d, i))
-    for k, pairs in seeds.items():
-        item = items.texts[k]
-        if len({i for _, i in pairs}) < min(MIN_SEEDS, max(1, len(item) - SEED + 1)):
-            continue
-        pairs.sort()
-        cuts = [0, *(n + 1 for n, (a, b) in enumerate(pairwise(pairs)) if b[0] - a[0] > SEGMENT_GAP), len(pairs)]
+    for a, b in pairwise([*np.flatnonzero(np.diff(k, prepend=-1)).tolist(), len(k)]):
+        size = int(items.sizes[k[a]])
+        item = items.whole[items.starts[k[a]] : items.starts[k[a]] + size].tolist()
+        pairs = list(zip(d[a:b].tolist(), i[a:b].tolist()))
+        cuts = [0, *(n + 1 for n, (x, y) in enumerate(pairwise(pairs)) if y[0] - x[0] > SEGMENT_GAP), len(pairs)]
         found = []
-        for a, b in pairwise(cuts):
-            if pairs[b - 1][0] + SEED - pairs[a][0] >= MIN_PASSAGE - MAX_GAP:
-                found += passages(tiles(whole, item, pairs[a:b]))
+        for x, y in pairwise(cuts):
+            if pairs[y - 1][0] + SEED - pairs[x][0] >= MIN_PASSAGE - MAX_GAP:
+                found += passages(tiles(whole, item, pairs[x:y]))
         if found:
-            yield items.ids[k], ordered_cover(list(stretches(found)), len(item)), len(item)
+            yield items.ids[k[a]], ordered_cover(list(stretches(found)), size), size
 
 
-def _block_leaks(df: DataFrame, key: str, text: str, block: list[tuple[int, str | None]]) -> DataFrame:
+def _block_leaks(df: DataFrame, key: str, text: str, block: list[tuple[int, str | None]], min_share: float) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(Items(block))
     kind = df.schema[key].dataType.simpleString()
 
@@ -241,7 +282,7 @@ def _block_leaks(df: DataFrame, key: str, text: str, block: list[tuple[int, str
             keys, found = batch.column(0), []
             for n, t in enumerate(batch.column(1).to_pylist()):
                 if t:
-                    found += [(n, *x) for x in leaks_of(items, t)]
+                    found += [(n, *x) for x in leaks_of(items, t, min_share)]
             if found:
                 at, ids, covered, size = zip(*found)
                 yield pa.RecordBatch.from_arrays(
@@ -256,19 +297,19 @@ def _block_leaks(df: DataFrame, key: str, text: str, block: list[tuple[int, str
 def find_leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str, min_share: float = 1 / 3) -> DataFrame:
     """One row per text and item it leaks: key, item_id, covered (equal words in passages), item_words.
 
-    The items come to the driver in blocks of bounded count and size; each block reads the texts once.
+    The items come to the driver in blocks of bounded size; each block reads the texts once.
     """
     rows = items.select(F.col(item_id).cast("bigint"), F.col(item_text)).toLocalIterator()
     blocks: list[list[tuple[int, str | None]]] = [[]]
     chars = 0
     for i, t in rows:
-        if len(blocks[-1]) >= BLOCK_ITEMS or chars > MAX_BLOCK_CHARS:
+        if chars > MAX_BLOCK_CHARS:
             blocks.append([])
             chars = 0
         blocks[-1].append((i, t))
         chars += len(t or "")
     out = None
     for block in blocks:
-        part = _block_leaks(df, key, text, block)
+        part = _block_leaks(df, key, text, block, min_share)
         out = part if out is None else out.unionByName(part)
     return out.where(F.col("covered") >= F.col("item_words") * F.lit(min_share) - 1e-9)

@@ -71,10 +71,74 @@ def test_passages_that_share_a_word_of_the_item():
     assert list(leaks.leaks_of(leaks.Items([(1, " ".join(w))]), " ".join([*w[:16], *filler, *w[15:40]]))) == [(1, 40, 100)]
 
 
+def test_a_short_item_with_a_changed_word():
+    w = R.sample(WORDS, 21)
+    items = [(1, " ".join(w))]
+    assert found(around(" ".join([*w[:3], "other", *w[4:8]])), items) == {1}
+    assert found(around(" ".join("other" if k % 3 == 2 else x for k, x in enumerate(w))), items) == {1}
+    assert found(around(" ".join(w[:6])), items) == set()
+
+
+def test_long_words_tags_and_breaks():
+    w = R.sample(WORDS, 30)
+    w[4] = "x" * 60
+    items = [(1, " ".join(w))]
+    w[4] = "x" * 59
+    tag = '<a title="' + "far away " * 60 + '">'
+    assert list(leaks.leaks_of(leaks.Items(items), f" {tag} ".join(w))) == [(1, 30, 30)]
+    cut = w[6][:3] + "-" + " " * 200 + chr(10) + "#" * 200 + w[6][3:]
+    assert list(leaks.leaks_of(leaks.Items(items), " ".join([*w[:6], cut, *w[7:]]))) == [(1, 30, 30)]
+
+
+def plain_leaks(text, item):
+    """The definition without greed: the most words that passages in the item's order can carry, over every choice of equal runs."""
+    pairs = sorted((d, i) for d, x in enumerate(text) for i, y in enumerate(item) if x == y)
+    known = set(pairs)
+    through = {}  # (first pair, last pair) of a passage: most equal words
+    for first in pairs:
+        best = {(first, 1): 1}  # (pair, words of its run so far, SEED at most)
+        for p in pairs:
+            for run in range(1, leaks.SEED + 1):
+                n = best.get((p, run))
+                if n is None:
+                    continue
+                if (p[0] + 1, p[1] + 1) in known:
+                    key = ((p[0] + 1, p[1] + 1), min(run + 1, leaks.SEED))
+                    best[key] = max(best.get(key, 0), n + 1)
+                if run == leaks.SEED:
+                    through[first, p] = max(through.get((first, p), 0), n)
+                    for q in pairs:
+                        if 0 <= q[0] - p[0] - 1 <= leaks.MAX_GAP and 0 <= q[1] - p[1] - 1 <= leaks.MAX_GAP and q != (p[0] + 1, p[1] + 1):
+                            best[q, 1] = max(best.get((q, 1), 0), n + 1)
+    whole = [(f, e) for f, e in through if e[1] + 1 - f[1] >= leaks.MIN_PASSAGE]
+    found = [(f, e, n) for (f, e), n in through.items() if any(e == y and x[0] <= f[0] and x[1] <= f[1] for x, y in whole)]
+    top = {}
+    for f, e, n in sorted(found, key=lambda x: x[1]):
+        top[e] = max(top.get(e, 0), n + max((v for k, v in top.items() if k[0] < f[0] and k[1] < f[1]), default=0))
+    return max(top.values(), default=0)
+
+
+def test_pairs_against_the_definition():
+    r = random.Random(8)
+    hits = 0
+    for _ in range(300):
+        item = r.sample(WORDS, r.randint(12, 40))
+        text = r.choices(WORDS, k=10)
+        for _ in range(r.randint(1, 3)):
+            a = r.randrange(len(item) - 4)
+            part = item[a : a + r.randint(4, 16)]
+            step = r.choice((0, 0, 3, 4, 6))
+            text += ["other" if step and k % step == step - 1 else x for k, x in enumerate(part) if r.random() > 0.04] + r.choices(WORDS, k=r.choice((3, 8, 25)))
+        want = plain_leaks(text, item) >= len(item) / 3
+        assert found(" ".join(text), [(1, " ".join(item))]) == ({1} if want else set()), (text, item)
+        hits += want
+    assert 50 < hits < 250
+
+
 def test_tiles_do_not_overlap():
     item = [1, 2, 3, 4, 1, 2, 3, 4, 5]
     text = [9, 1, 2, 3, 4, 5, 1, 2, 3]
-    seeds = [(d, i) for d in range(7) for i in range(7) if text[d : d + 3] == item[i : i + 3]]
+    seeds = [(d, i) for d in range(8) for i in range(8) if text[d : d + 2] == item[i : i + 2]]
     got = leaks.tiles(text, item, seeds)
     assert got == [(1, 4, 5), (6, 0, 3)]
 
@@ -91,5 +155,5 @@ def test_queries(spark):
 def test_blocks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(k, around(ITEMS[k][1])) for k in range(10)], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 4)
+    monkeypatch.setattr(leaks, "MAX_BLOCK_CHARS", 1000)
     assert {tuple(r)[:2] for r in leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()} == {(k, k) for k in range(10)}
