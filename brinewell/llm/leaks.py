@@ -198,8 +198,9 @@ def passages(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int
     for y, (d, i, n) in enumerate(parts):
         for x in range(y - 1, -1, -1):
             a, b, m = parts[x]
-            if 0 <= d - a - m <= MAX_GAP and 0 <= i - b - m <= MAX_GAP and best[x] + n > best[y]:
-                best[y], before[y] = best[x] + n, x
+            twice = max(0, b + m - i)  # words at the tile's head that the tile before it has already
+            if twice < n and 0 <= d + twice - a - m <= MAX_GAP and i + twice - b - m <= MAX_GAP and best[x] + n - twice > best[y]:
+                best[y], before[y] = best[x] + n - twice, x
     used, out = set(), []
     for y in sorted(range(len(parts)), key=lambda k: -best[k]):
         chain = []
@@ -208,7 +209,12 @@ def passages(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int
             used.add(y)
             y = before[y]
         if chain:
-            out.append([parts[k] for k in reversed(chain)])
+            tiles_in, end = [], 0
+            for d, i, n in (parts[k] for k in reversed(chain)):
+                twice = max(0, end - i)
+                tiles_in.append((d + twice, i + twice, n - twice))
+                end = i + n
+            out.append(tiles_in)
     return [c for c in out if c[-1][1] + c[-1][2] - c[0][1] >= MIN_PASSAGE]
 
 
