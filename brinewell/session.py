@@ -25,8 +25,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def file_system(spark: SparkSession, path: str):
+    """The JVM's file system of a path, and the path as it knows it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path for plain file calls, or None where the file system that it names, or the default one, is no mounted disk."""
+    fs, at = file_system(spark, path)
+    whole = fs.makeQualified(at).toUri()
+    return whole.getPath() if whole.getScheme() == "file" else None
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh directory below the folder that all executors share (spark.checkpoint.dir).
+    """A fresh directory below the folder that all executors share (spark.checkpoint.dir); it goes when the driver's JVM ends.
 
     Only where that setting is unset, as in tests on one machine, a local temporary folder is set in its place.
     """
@@ -35,7 +48,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         root = os.path.join(tempfile.gettempdir(), "brinewell-shared")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, at = file_system(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
 
 
 def checkpointed(df):
