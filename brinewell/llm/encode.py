@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.llm import lexicon
-from brinewell.session import shared_dir
+from brinewell.session import mounted, shared_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which the tokenizer cuts a text into words.
@@ -188,7 +188,7 @@ def encode_texts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER,
     sample = [r[0] for r in df.select(text).where(F.length(text) <= SAMPLE_CHARS).limit(lexicon_docs).collect()]
     arrays = build_lexicon(ranks, sample)
     name, folder = uuid.uuid4().hex, shared_dir(spark, "lexicon")
-    local = folder.removeprefix("file://") if folder.startswith(("file://", "/")) else None
+    local = mounted(spark, folder)
     if local:
         lexicon.save(arrays, Path(local))
         shipped = None
