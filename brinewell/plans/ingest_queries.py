@@ -125,12 +125,16 @@ BET_KEY = ["market_id", "instant", "prob_before", "prob_after", "amount", "share
 
 
 def _stores(spark: SparkSession, d: str) -> tuple[RunStore, RunStore]:
+    """The rows as they arrive, in two batches a store; merging the runs finds the copies that lie in different batches."""
     bets = RunStore(spark, BET_KEY, ["row_id"], required=["instant"])
     rows = table(spark, d, "bets").select(F.col("id").alias("row_id"), epoch_ns(F.col("ts_ns")).alias("instant"), *[c for c in BET_KEY if c != "instant"])
-    bets.upsert(rows, "bets")
     session = RunStore(spark, ["bet_id"], ["row_id", "bet_pos"], required=["bet_id"])
-    rows = _session_fields(spark, d, "id").select(F.col("line_no").alias("row_id"), "bet_pos", F.col("id").alias("bet_id"))
-    session.upsert(rows, "session")
+    frames = _session_fields(spark, d, "id").select(F.col("line_no").alias("row_id"), "bet_pos", F.col("id").alias("bet_id"))
+    for store, whole, source, order in ((bets, rows, "bets", "id"), (session, frames, "ws_session", "line_no")):
+        ends = table(spark, d, source).agg(F.min(order), F.max(order)).first()
+        middle = (ends[0] + ends[1]) // 2 if ends[0] is not None else 0
+        store.upsert(whole.where(F.col("row_id") <= middle), "first half")
+        store.upsert(whole.where(F.col("row_id") > middle), "second half")
     return bets, session
 
 

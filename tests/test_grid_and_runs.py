@@ -57,6 +57,33 @@ def test_one_copy_of_each(spark, block_rows, batches):
     assert s.copies().count() == 0
 
 
+def test_two_runs_meet_without_a_shuffle(spark):
+    rows = [(i, 0, f"k{i % 7}", None, "e") for i in range(60)]
+    s = store(spark, rows, 2)
+    s.copies().collect()
+    plan = s.copies()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    s.compact()
+    assert len(s.runs) == 1 and s.unique().count() == 7
+    assert "Exchange" not in s.unique()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_another_store_goes_on_and_nothing_is_left(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    kind = "id bigint, pos int, k string, x double, extra string"
+    one = RunStore(spark, ["k", "x"], ["id", "pos"], required=["k"], buckets=3, path=path)
+    one.upsert(spark.createDataFrame([(1, 0, "a", 0.0, "e"), (2, 0, "b", None, "e")], kind), "first")
+    two = RunStore(spark, ["k", "x"], ["id", "pos"], required=["k"], path=path)
+    two.upsert(spark.createDataFrame([(3, 0, "a", -0.0, "e"), (4, 0, "c", None, "e")], kind), "second")
+    assert sorted(r.id for r in two.unique().collect()) == [1, 2, 4] and [r.id for r in two.copies().collect()] == [3]
+    two.compact()
+    three = RunStore(spark, ["k", "x"], ["id", "pos"], required=["k"], path=path)
+    assert sorted((r.id, r.k, r.extra) for r in three.unique().collect()) == [(1, "a", "e"), (2, "b", "e"), (4, "c", "e")]
+    assert sum(p.is_dir() for p in (tmp_path / "store").iterdir()) == 1
+    three.close()
+    assert not (tmp_path / "store").exists()
+
+
 def test_nothing_stored(spark):
     s = store(spark, [])
     assert s.unique().count() == 0 and s.copies().count() == 0
