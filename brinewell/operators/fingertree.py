@@ -1,7 +1,7 @@
 """A finger B-tree of partial aggregates keyed by event time.
 
-Entries are (key, partial) pairs in key order. Every node caches the merged partial of its subtree; the caches along a
-changed path are dropped on insertion and rebuilt when asked for. Two fingers point at the outermost leaves, so in-order
+Entries are (key, partial) pairs in key order. Every node caches the merged partial of its subtree; an insertion merges its partial into the
+caches of its ancestors, an eviction or a split drops those that it changes and they are rebuilt when asked for. Two fingers point at the outermost leaves, so in-order
 arrivals cost constant time and a record that is d entries late climbs about log d levels. Eviction below a cut unlinks whole
 subtrees and touches one root-to-leaf path only.
 """
@@ -56,7 +56,11 @@ class FingerTree:
             node.items.insert(k, partial)
             if k == 0:
                 self._lower(node)
-        self._stale(node)
+        above = node
+        while above is not None:
+            if above.cached is not None:
+                above.cached = self.merge(above.cached, partial)
+            above = above.parent
         if len(node.items) > WIDTH:
             self._split(node)
 
@@ -122,12 +126,6 @@ class FingerTree:
             node.cached = total
         return node.cached
 
-    @staticmethod
-    def _stale(node: _Node | None) -> None:
-        while node is not None and node.cached is not None:
-            node.cached = None
-            node = node.parent
-
     @staticmethod
     def _lower(node: _Node) -> None:
         while node.parent is not None:
@@ -157,5 +155,4 @@ class FingerTree:
             k = node.parent.items.index(node)
             node.parent.keys.insert(k + 1, other.keys[0])
             node.parent.items.insert(k + 1, other)
-            node.parent.cached = None
             node = node.parent

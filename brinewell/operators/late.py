@@ -7,8 +7,9 @@ aggregate, dropped ones are counted beside it.
 A key may hold a third of all rows, so arrival order is cut into blocks of consecutive ids and each (key, block) is worked on by
 itself. The clock at a block's start is the running maximum of block maxima, which are pre-aggregated before the shuffle; it
 travels as one marker row a block, so that the records are shuffled once. Inside a block a finger B-tree of partial aggregates
-takes the records; it is bounded by the cut-off, because whole subtrees leave it as the clock moves on. Partials of a
-period from several blocks add up in a last aggregation.
+takes the records, a stretch of one period at once; the partial of its root holds the clock, by which records are judged late or dropped.
+The tree is bounded by the cut-off, because whole subtrees leave it as the clock moves on. Partials of a period from several blocks add up
+in a last aggregation.
 
 Defined results: rows with a null key, row id or event time take no part; copies count as often as they occur; records of equal
 time are taken in arrival order; an empty table gives no rows; extra columns are ignored.
@@ -41,36 +42,42 @@ def records(origin: str, df: DataFrame, key: Column, row_id: Column, bet_pos: Co
 
 
 def _merge(a: tuple, b: tuple) -> tuple:
-    return (a[0] + b[0], a[1] + b[1], a[2] + b[2], min(a[3], b[3]), max(a[4], b[4]))
+    """Partials: records, late ones, sum, least and most of the values, newest event time."""
+    return (a[0] + b[0], a[1] + b[1], a[2] + b[2], min(a[3], b[3]), max(a[4], b[4]), max(a[5], b[5]))
 
 
 class _Run:
-    """The tree and the clock of one (origin, key, block)."""
+    """The tree of one (origin, key, block). The clock is the newest event time in its root's partial."""
 
     def __init__(self, period: int, cutoff: int):
         self.period, self.cutoff = period, cutoff
-        self.tree, self.clock = FingerTree(_merge), None
+        self.tree = FingerTree(_merge)
         self.closed: list[tuple[int, tuple]] = []
 
-    def start(self, clock: int | None) -> None:
-        self.clock = clock
+    def start(self, clock: int) -> None:
+        """The clock that earlier blocks hand on: a partial of no record."""
+        self.tree.insert(clock - clock % self.period, (0, 0, 0.0, float("inf"), float("-inf"), clock))
 
-    def on_time(self, key: int, partial: tuple, newest: int) -> None:
-        self.tree.insert(key, partial)
-        if self.clock is None or newest > self.clock:
-            moved = self.clock is None or newest // self.period != self.clock // self.period
-            self.clock = newest
-            if moved:
-                self.closed.extend(self.tree.evict_below((newest - self.cutoff) // self.period * self.period))
+    def ended(self, slot: int) -> bool:
+        """Whether a period is over by the clock."""
+        root = self.tree.total()
+        return root is not None and slot + self.period <= root[5]
+
+    def on_time(self, slot: int, partial: tuple) -> None:
+        before = self.tree.last_key()
+        self.tree.insert(slot, partial)
+        if before is None or slot > before:
+            self.closed.extend(self.tree.evict_below((self.tree.total()[5] - self.cutoff) // self.period * self.period))
 
     def behind(self, t: int, value: float) -> str:
-        if self.clock - t > self.cutoff:
+        if t < self.tree.total()[5] - self.cutoff:
             return "dropped"
-        self.tree.insert(t - t % self.period, (1, 1, *_valued(value)))
+        self.tree.insert(t - t % self.period, (1, 1, *_valued(value), t))
         return "late"
 
-    def drain(self) -> list[tuple[int, tuple]]:
-        out = [*self.closed, *self.tree.entries()]
+    def drain(self) -> list[tuple]:
+        """The partials of all periods that have a record."""
+        out = [(k, *p[:5]) for k, p in (*self.closed, *self.tree.entries()) if p[0]]
         self.closed, self.tree = [], FingerTree(_merge)
         return out
 
@@ -98,36 +105,33 @@ def _worker(period: int, cutoff: int, emit: str):
                 here = (origin[a].as_py(), key[a].as_py(), int(block[a]))
                 if here != at:
                     if run and emit == "periods":
-                        periods += [(*at[:2], k, *p) for k, p in run.drain()]
+                        periods += [(*at[:2], *p) for p in run.drain()]
                     run, at = _Run(period, cutoff), here
                     if marks[a]:
                         run.start(int(times[a]))
                         a += 1
                 if a == b:
                     continue
-                t = times[a:b]
-                clock = run.clock if run.clock is not None else int(t[0])
-                before = np.maximum.accumulate(np.concatenate(([clock], t)))[:-1]
+                # Records of one period that follow each other are on time together or not: none of them moves the clock beyond the period.
+                t, v = times[a:b], values[a:b]
                 slot = t - t % period
-                timely = slot + period > before
-                starts = np.flatnonzero(np.concatenate(([True], (np.diff(slot) != 0) | ~timely[1:] | ~timely[:-1])))
+                starts = np.flatnonzero(np.concatenate(([True], np.diff(slot) != 0)))
                 ends = np.append(starts[1:], b - a)
-                v = values[a:b]
                 some = v == v
                 sums = np.add.reduceat(np.where(some, v, 0.0), starts)
                 least = np.minimum.reduceat(np.where(some, v, np.inf), starts)
                 most = np.maximum.reduceat(np.where(some, v, -np.inf), starts)
                 newest = np.maximum.reduceat(t, starts)
-                for i, j, ok, k, s, lo, hi, new in zip(
-                    starts.tolist(), ends.tolist(), timely[starts].tolist(), slot[starts].tolist(),
-                    sums.tolist(), least.tolist(), most.tolist(), newest.tolist(),
+                for i, j, k, s, lo, hi, new in zip(
+                    starts.tolist(), ends.tolist(), slot[starts].tolist(), sums.tolist(), least.tolist(), most.tolist(), newest.tolist()
                 ):
-                    if ok:
-                        run.on_time(k, (j - i, 0, s, lo, hi), new)
-                    else:
-                        verdict = run.behind(int(t[i]), float(v[i]))
+                    if not run.ended(k):
+                        run.on_time(k, (j - i, 0, s, lo, hi, new))
+                        continue
+                    for n in range(i, j):
+                        verdict = run.behind(int(t[n]), float(v[n]))
                         if emit == "verdicts":
-                            for column, x in zip(found, (here[0], int(rows[a + i]), int(pos[a + i]), verdict)):
+                            for column, x in zip(found, (here[0], int(rows[a + n]), int(pos[a + n]), verdict)):
                                 column.append(x)
                         elif verdict == "dropped":
                             periods.append((here[0], here[1], k, 0, 0, 0.0, float("inf"), float("-inf")))
@@ -138,7 +142,7 @@ def _worker(period: int, cutoff: int, emit: str):
                     yield _batch(VERDICTS, found)
             elif periods:
                 yield _batch(PERIODS, list(zip(*periods)))
-        if run and emit == "periods" and (last := [(*at[:2], k, *p) for k, p in run.drain()]):
+        if run and emit == "periods" and (last := [(*at[:2], *p) for p in run.drain()]):
             yield _batch(PERIODS, list(zip(*last)))
 
     return work

@@ -68,3 +68,16 @@ def test_great_ids_keep_their_digits(spark):
     big = 2**62 + 1
     rows = [(big, 0, "a", 10 * HOUR, 1.0), (big + 1, 0, "a", 5 * HOUR, 1.0)]
     assert [x.row_id for x in late.late_records(shaped(frame(spark, rows))).collect()] == [big + 1]
+
+
+def test_the_verdict_is_the_roots_partial():
+    t = 10**18 // HOUR * HOUR
+    run = late._Run(HOUR, 6 * HOUR)
+    for k in range(40):
+        run.on_time(t + k * HOUR, (1, 0, 1.0, 1.0, 1.0, t + k * HOUR + 5))
+    assert run.ended(t + 38 * HOUR) and not run.ended(t + 39 * HOUR)
+    assert run.behind(t + 33 * HOUR + 5, 1.0) == "late" and run.behind(t + 33 * HOUR + 4, 1.0) == "dropped"
+    n, n_late, total = run.tree.total()[:3]  # what the cut-off has left, the late one included
+    assert (n, n_late, total) == (8, 1, 8.0)
+    run.tree.root.cached = (*run.tree.root.cached[:5], t + 50 * HOUR)
+    assert run.ended(t + 39 * HOUR) and run.behind(t + 43 * HOUR, 1.0) == "dropped"
