@@ -1,7 +1,8 @@
 """Deeply nested records into related flat tables by Dewey labelling.
 
-Every node of a record gets the ordinals on the way to it, as in 2.0.3; cutting the last one gives its parent, so the
-parent-child links cost nothing. Objects are grouped by their schema path ('$.data.bets[]') and carry their scalar fields;
+Every node of a record gets the ordinals on the way to it, as in 4.0.3; cutting the last one gives its parent, so the
+parent-child links cost nothing. The ordinal of a field is its place among the names that its schema path declares, whatever the order in the text; fields
+that are not declared follow in the order of the text. So a typed record and the same record as text have the same labels. Objects are grouped by their schema path ('$.data.bets[]') and carry their scalar fields;
 a table is the selection of one path. No step shuffles.
 
 Lists in a list are read as one list. Null members count as places but are no nodes. For paths in as_list a single object is a
@@ -55,7 +56,16 @@ def _members(v) -> Iterator:
             stack.pop()
 
 
-def nodes_of(value, as_list: frozenset[str], as_json: frozenset[str]) -> Iterator[tuple[list[int], str, list, list]]:
+def ordinals(path: str, names: dict[str, list[str]]) -> list[int]:
+    """The label of the list or object at a schema path such as '$.data.bets' whose fields are all declared."""
+    out, at = [], "$"
+    for name in path.split(".")[1:]:
+        out.append(names[at].index(name))
+        at = f"{at}.{name}"
+    return out
+
+
+def nodes_of(value, as_list: frozenset[str], as_json: frozenset[str], names: dict[str, list[str]]) -> Iterator[tuple[list[int], str, list, list]]:
     """(ordinals, schema path, scalar fields, lengths of lists) of every object in value."""
     stack = [(value, [], "$")]
     while stack:
@@ -68,8 +78,11 @@ def nodes_of(value, as_list: frozenset[str], as_json: frozenset[str]) -> Iterato
             below = [(x, [*label, k], path + "[]") for k, x in enumerate(_members(v)) if isinstance(x, dict)]
             stack.extend(reversed(below))
         elif isinstance(v, dict):
-            fields, counts, below = [], [], []
-            for k, (name, x) in enumerate(v.items()):
+            fields, counts, below, declared = [], [], [], names.get(path, [])
+            place, more = {name: k for k, name in enumerate(declared)}, len(declared)
+            for name, x in v.items():
+                k = place.get(name, more)
+                more += name not in place
                 child = f"{path}.{name}"
                 if isinstance(x, str) and child in as_json:
                     x = whole_json(x)
@@ -85,16 +98,18 @@ def nodes_of(value, as_list: frozenset[str], as_json: frozenset[str]) -> Iterato
             stack.extend(reversed(below))
 
 
-def label_json(df: DataFrame, row_id: Column, text: Column, as_list: set[str] = frozenset(), as_json: set[str] = frozenset()) -> DataFrame:
-    """A row per object: row_id, dewey (its ordinals), path, its scalar fields and the lengths of its lists."""
-    lists, texts = frozenset(as_list), frozenset(as_json)
+def label_json(
+    df: DataFrame, row_id: Column, text: Column, as_list: set[str] = frozenset(), as_json: set[str] = frozenset(), names: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """A row per object: row_id, dewey (its ordinals), path, its scalar fields and the lengths of its lists. names: the declared fields of schema paths."""
+    lists, texts, declared = frozenset(as_list), frozenset(as_json), names or {}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if (v := whole_json(s)) is not None:
-                    for node in nodes_of(v, lists, texts):
+                    for node in nodes_of(v, lists, texts, declared):
                         out.append((i, *node))
                         if len(out) == CHUNK:
                             yield _packed(out)
@@ -125,5 +140,10 @@ def parent(dewey: Column, levels: int = 1) -> Column:
     return F.slice(dewey, 1, F.greatest(F.size(dewey) - levels, F.lit(0)))
 
 
+def label(row_id: Column, dewey: Column) -> Column:
+    """A node's label among all rows; that of a record's root is the row alone."""
+    return F.concat_ws(".", row_id.cast("string"), dewey.cast("array<string>"))
+
+
 def dotted(dewey: Column) -> Column:
     return F.array_join(dewey.cast("array<string>"), ".")

@@ -12,11 +12,16 @@ from brinewell.sources.tables import table
 
 
 
+# The declared fields of a frame, for the labels of its nodes.
+FRAME_NAMES = {"$": ["type", "topic", "txid", "success", "data"], "$.data": ["bets"]}
+TO_FRAME = 3  # levels from a bet over its list and the data to its frame
+
+
 def _session_bets(spark: SparkSession, d: str) -> DataFrame:
-    """The bets of ws_session, each with its place in its frame: line_no, bet_pos, bet."""
+    """The bets of ws_session, each with its label and its place in its frame: line_no, dewey, bet_pos, bet."""
     frames = table(spark, d, "ws_session")
-    nodes = dewey.label_list(frames, F.col("line_no"), F.col("data.bets"), [0, 0])
-    return nodes.select(F.col("row_id").alias("line_no"), dewey.place(F.col("dewey")).alias("bet_pos"), F.col("member").alias("bet"))
+    nodes = dewey.label_list(frames, F.col("line_no"), F.col("data.bets"), dewey.ordinals("$.data.bets", FRAME_NAMES))
+    return nodes.select(F.col("row_id").alias("line_no"), "dewey", dewey.place(F.col("dewey")).alias("bet_pos"), F.col("member").alias("bet"))
 
 
 def _session_fields(spark: SparkSession, d: str, *fields: str) -> DataFrame:
@@ -53,14 +58,15 @@ def p2_hourly(spark: SparkSession, d: str) -> DataFrame:
 
 def _raw_nodes(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "ws_raw")
-    return dewey.label_json(raw, F.col("line_no"), F.col("raw_text"), as_list={"$.data.bets"}, as_json={"$.data", "$.data.bets"})
+    return dewey.label_json(raw, F.col("line_no"), F.col("raw_text"), as_list={"$.data.bets"}, as_json={"$.data", "$.data.bets"}, names=FRAME_NAMES)
 
 
 def p3_bets(spark: SparkSession, d: str) -> DataFrame:
-    """The table of bets: each with its frame, its place in it and the label it is reached by."""
+    """The table of bets: each with its place in its frame, its label, and its frame's label in the table of frames, by truncation."""
     b, f = F.col("bet"), F.col("fields")
+    labels = lambda row: (dewey.label(F.col(row), F.col("dewey")).alias("label"), dewey.label(F.col(row), dewey.parent(F.col("dewey"), TO_FRAME)).alias("parent"))
     session = _session_bets(spark, d).select(
-        F.lit("ws_session").alias("origin"), "line_no", "bet_pos", F.concat(F.lit("0.0."), F.col("bet_pos")).alias("dewey"), F.lit("0.0").alias("parent"),
+        F.lit("ws_session").alias("origin"), "line_no", "bet_pos", *labels("line_no"),
         F.coalesce(b.contractId, F.lit("")).alias("contract_id"), b.id.alias("bet_id"), b.createdTime.alias("created_ms"), b.probBefore.alias("prob_before"),
         b.probAfter.alias("prob_after"), b.amount.alias("amount"), b.shares.alias("shares"), b.limitProb.alias("limit_prob"),
         b.isFilled.alias("is_filled"), b.isCancelled.alias("is_cancelled"),
@@ -68,7 +74,7 @@ def p3_bets(spark: SparkSession, d: str) -> DataFrame:
     n = lambda name, kind: f[name].try_cast(kind)
     raw = _raw_nodes(spark, d).where("path = '$.data.bets[]'").select(
         F.lit("ws_raw").alias("origin"), F.col("row_id").alias("line_no"), dewey.place(F.col("dewey")).alias("bet_pos"),
-        dewey.dotted(F.col("dewey")).alias("dewey"), dewey.dotted(dewey.parent(F.col("dewey"))).alias("parent"),
+        *labels("row_id"),
         F.coalesce(f["contractId"], F.lit("")).alias("contract_id"), f["id"].alias("bet_id"), n("createdTime", "bigint").alias("created_ms"),
         n("probBefore", "double").alias("prob_before"), n("probAfter", "double").alias("prob_after"), n("amount", "double").alias("amount"),
         n("shares", "double").alias("shares"), n("limitProb", "double").alias("limit_prob"), n("isFilled", "boolean").alias("is_filled"),
@@ -78,9 +84,9 @@ def p3_bets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_frames(spark: SparkSession, d: str) -> DataFrame:
-    """The table of frames: every line of ws_session and every line of ws_raw that is one JSON object."""
+    """The table of frames: every line of ws_session and every line of ws_raw that is one JSON object, with the label that its bets name as their parent."""
     session = table(spark, d, "ws_session").select(
-        F.lit("ws_session").alias("origin"), "line_no", "type", "topic", "txid", "success", F.coalesce(F.size("data.bets"), F.lit(0)).alias("n_places")
+        F.lit("ws_session").alias("origin"), "line_no", dewey.label(F.col("line_no"), F.array()).alias("label"), "type", "topic", "txid", "success", F.coalesce(F.size("data.bets"), F.lit(0)).alias("n_places")
     )
     session = session.withColumn("n_places", F.greatest("n_places", F.lit(0)))
     nodes, f = _raw_nodes(spark, d), F.col("fields")
@@ -90,7 +96,7 @@ def p3_frames(spark: SparkSession, d: str) -> DataFrame:
         F.max((F.col("path") == "$").cast("int")).alias("is_frame"),
     )
     raw = raw.where("is_frame = 1").select(
-        F.lit("ws_raw").alias("origin"), F.col("row_id").alias("line_no"), "type", "topic", F.expr("try_cast(txid as bigint)").alias("txid"),
+        F.lit("ws_raw").alias("origin"), F.col("row_id").alias("line_no"), dewey.label(F.col("row_id"), F.array()).alias("label"), "type", "topic", F.expr("try_cast(txid as bigint)").alias("txid"),
         F.expr("try_cast(success as boolean)").alias("success"), "n_places",
     )
     return session.unionByName(raw)
@@ -192,6 +198,15 @@ _SESSION = (
     "select line_no, cast(pos - 1 as integer) as bet_pos, data.bets[pos] as bet from (select line_no, data, unnest(range(1, len(data.bets) + 1)) as pos "
     "from ws_session where data is not null and data.bets is not null) where data.bets[pos] is not null"
 )
+# The lines of ws_raw that are whole JSON: frames j (line_no, v), their bets m (line_no, path, v) with the lists in a list unfolded.
+_RAW = """j as (select line_no, cast(t as json) as v from (select line_no, ltrim(raw_text, chr(65279)) as t from ws_raw) where json_valid(t)),
+d as (select line_no, case when json_type(v, '$.data') = 'VARCHAR' then case when json_valid(v->>'$.data') then cast(v->>'$.data' as json) end else v->'$.data' end as v from j where json_type(v) = 'OBJECT'),
+l as (select line_no, case when json_type(v, '$.bets') = 'VARCHAR' then case when json_valid(v->>'$.bets') then cast(v->>'$.bets' as json) end else v->'$.bets' end as v from d where json_type(v) = 'OBJECT'),
+u(line_no, path, v) as (
+  select line_no, [k], v[k] from (select line_no, v, unnest(range(1, len(v) + 1)) as k from (select line_no, case json_type(v) when 'ARRAY' then from_json(v, '["JSON"]') when 'OBJECT' then [v] end as v from l))
+  union all select line_no, list_append(path, k), v[k] from (select line_no, path, v, unnest(range(1, len(v) + 1)) as k from (select line_no, path, from_json(v, '["JSON"]') as v from u where json_type(v) = 'ARRAY'))),
+m as (select line_no, cast(row_number() over (partition by line_no order by path) - 1 as integer) as bet_pos, v from u where json_type(v) is distinct from 'ARRAY')"""
+_CONTRACT = "case when json_type(v, '$.contractId') in ('OBJECT', 'ARRAY') then '' else coalesce(v->>'$.contractId', '') end"
 _LATE = f"""
 with session as ({_SESSION}),
 rows_in as (
@@ -212,7 +227,21 @@ c as (select market_id, h, count(*) as n, min(t) as first_t, max(t) as last_t fr
 n as (select *, lead(h) over (partition by market_id order by h) as nh from c),
 holes as (select market_id, h as from_h, unnest(range(h + 1, nh)) as h, last_t from n where nh > h + 1)"""
 
+_RAW_FIELD = lambda name, kind: f"try_cast(v->>'$.{name}' as {kind})"
 SQL = {
+    "p3_found": f"""with recursive {_RAW} select 'ws_session' as origin, line_no, bet_pos, coalesce(bet.contractId, '') as contract_id from ({_SESSION})
+union all select 'ws_raw', line_no, bet_pos, {_CONTRACT} from m where json_type(v) = 'OBJECT'""",
+    "p3_bets": f"""with recursive {_RAW}
+select 'ws_session' as origin, line_no, bet_pos, line_no || '.4.0.' || bet_pos as label, cast(line_no as varchar) as parent, coalesce(bet.contractId, '') as contract_id, bet.id as bet_id,
+  bet.createdTime as created_ms, bet.probBefore as prob_before, bet.probAfter as prob_after, bet.amount as amount, bet.shares as shares, bet.limitProb as limit_prob,
+  bet.isFilled as is_filled, bet.isCancelled as is_cancelled from ({_SESSION})
+union all select 'ws_raw', line_no, bet_pos, line_no || '.4.0.' || bet_pos, cast(line_no as varchar), {_CONTRACT}, v->>'$.id', {_RAW_FIELD('createdTime', 'bigint')},
+  {_RAW_FIELD('probBefore', 'double')}, {_RAW_FIELD('probAfter', 'double')}, {_RAW_FIELD('amount', 'double')}, {_RAW_FIELD('shares', 'double')}, {_RAW_FIELD('limitProb', 'double')},
+  {_RAW_FIELD('isFilled', 'boolean')}, {_RAW_FIELD('isCancelled', 'boolean')} from m where json_type(v) = 'OBJECT'""",
+    "p3_frames": f"""with recursive {_RAW}
+select 'ws_session' as origin, line_no, cast(line_no as varchar) as label, type, topic, txid, success, cast(coalesce(len(data.bets), 0) as integer) as n_places from ws_session
+union all select 'ws_raw', line_no, cast(line_no as varchar), v->>'$.type', v->>'$.topic', {_RAW_FIELD('txid', 'bigint')}, {_RAW_FIELD('success', 'boolean')},
+  cast((select count(*) from m where m.line_no = j.line_no) as integer) from j where json_type(v) = 'OBJECT'""",
     "p2_found": f"{_LATE} select origin, row_id, bet_pos, verdict from judged where verdict <> 'ok'",
     "p2_hourly": f"""{_LATE} select origin, k as market_id, cast(h * 3600 as bigint) as hour_epoch_s,
   cast(count(*) filter (verdict <> 'dropped') as bigint) as n, cast(count(*) filter (verdict = 'late') as bigint) as n_late,
