@@ -194,6 +194,43 @@ _INSTANT = (
     "case when ts_ns = 0 then null when abs(ts_ns) < 100000000000 then ts_ns * 1000000000 when abs(ts_ns) < 100000000000000 then ts_ns * 1000000 "
     "when abs(ts_ns) < 100000000000000000 then ts_ns * 1000 else ts_ns end"
 )
+# Texts as written by people, from TESTDATA's rules: a date in one of six forms, a time, a zone by offset, abbreviation or region; or an epoch number.
+_WRITTEN = (
+    r"^(?:(\d{4})-(\d\d?)-(\d\d?)|(\d{4})(\d\d)(\d\d)|(\d\d?)/(\d\d?)/(\d{4})|(\d\d?)\.(\d\d?)\.(\d{4})|(?:[a-z]{3,9}, )?(\d\d?) ([a-z]{3})[a-z]* (\d{4})|([a-z]{3})[a-z]* (\d\d?), (\d{4}))"
+    r"(?:[t ](\d\d?):(\d\d)(?::(\d\d)(?:\.(\d+))?)?|t(\d\d)(\d\d)(\d\d))?(?: ([ap])m\b)?(?: ?([+-])(\d\d):?(\d\d)| ?([a-z]{1,5})| ?\[?([a-z]+/[a-z_]+)\]?)?$"
+)
+_WRITTEN_NAMES = [
+    "y1", "m1", "d1", "y2", "m2", "d2", "m3", "d3", "y3", "d4", "m4", "y4", "d5", "n5", "y5", "n6", "d6", "y6", "h1", "i1", "s1", "f1", "h2", "i2", "s2", "half", "sign", "oh", "om", "word", "region",
+]
+_HOURS = {
+    "z": 0, "utc": 0, "gmt": 0, "ut": 0, "wet": 0, "west": 1, "bst": 1, "cet": 1, "cest": 2, "eet": 2, "eest": 3, "msk": 3,
+    "ast": -4, "adt": -3, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7,
+}
+
+
+def _texts_sql() -> str:
+    """Common table expressions up to t (origin, row_key, written, epoch_ns)."""
+    n = lambda *k: "coalesce(" + ", ".join(f"try_cast(p.{x} as integer)" for x in k) + ")"
+    zero = lambda *k: n(*k)[:-1] + ", 0)"
+    month = "(instr('janfebmaraprmayjunjulaugsepoctnovdec', nullif(p.n5 || p.n6, '')) + 2) // 3"
+    names = ", ".join(f"'{x}'" for x in _WRITTEN_NAMES)
+    hour = f"case when p.half = '' then {zero('h1', 'h2')} when {n('h1')} between 1 and 12 then {n('h1')} % 12 + case when p.half = 'p' then 12 else 0 end end"
+    away = "case p.word " + " ".join(f"when '{k}' then {v}" for k, v in _HOURS.items()) + " end"
+    return f"""w as (
+  select 'markets' as origin, market_id as row_key, close_time as written from markets
+  union all select 'cross_source_snapshots', cast(id as varchar), polled_at from cross_source_snapshots
+  union all select distinct 'polymarket_markets', conditionId, endDate from polymarket_markets),
+r as (select *, regexp_extract(lower(trim(written, ' ')), '{_WRITTEN}', [{names}]) as p, try_cast(case when regexp_full_match(written, '\d{{9,19}}') then written end as bigint) as ts_ns from w),
+c as (select *, make_date({n('y1', 'y2', 'y3', 'y4', 'y5', 'y6')}, {n('m1', 'm2', 'm3', 'm4')[:-1]}, {month}), 1) as first, {n('d1', 'd2', 'd3', 'd4', 'd5', 'd6')} as day, {hour} as hour,
+  {zero('i1', 'i2')} as minute, {zero('s1', 's2')} as second from r where {n('m1', 'm2', 'm3', 'm4')[:-1]}, {month}, 1) between 1 and 12),
+v as (select *, make_timestamp(epoch_us(first + interval (day - 1) day) + cast((hour * 60 + minute) * 60 + second as bigint) * 1000000) as local
+  from c where day between 1 and extract(day from last_day(first)) and hour <= 23 and minute <= 59 and second <= 59),
+z as (select *, case when p.sign <> '' then epoch_us(local) - (case p.sign when '-' then -1 else 1 end) * ({zero('oh')} * 60 + {zero('om')}) * cast(60000000 as bigint)
+    when p.word <> '' then epoch_us(local) - {away} * cast(3600000000 as bigint) when p.region <> '' then epoch_us(timezone(p.region, local)) else epoch_us(local) end as us from v where p.y1 || p.y2 || p.y3 || p.y4 || p.y5 || p.y6 <> ''),
+t as (select origin, row_key, written, us * 1000 + cast(rpad(left(p.f1, 9), 9, '0') as bigint) as epoch_ns from z where us is not null
+  union all select origin, row_key, written, {_INSTANT} from r where ts_ns <> 0)"""
+
+
 _SESSION = (
     "select line_no, cast(pos - 1 as integer) as bet_pos, data.bets[pos] as bet from (select line_no, data, unnest(range(1, len(data.bets) + 1)) as pos "
     "from ws_session where data is not null and data.bets is not null) where data.bets[pos] is not null"
@@ -276,5 +313,8 @@ union all select 'ws_session', line_no, bet_pos from s where k > 1""",
 s as (select line_no, bet_pos, row_number() over (partition by bet.id order by line_no, bet_pos) as k from session where bet.id is not null)
 select 'bets' as origin, id as row_id, cast(0 as integer) as bet_pos from b where k = 1
 union all select 'ws_session', line_no, bet_pos from s where k = 1""",
+    "p7_found": f"""with {_texts_sql()}
+select distinct origin, row_key, epoch_ns from t where not regexp_full_match(written, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ')
+union all select 'bets', cast(id as varchar), {_INSTANT} from bets where ts_ns <> 0 and {_INSTANT} <> ts_ns""",
     "p7_bets": f"select id, ts_ns, {_INSTANT} as epoch_ns from bets",
 }
