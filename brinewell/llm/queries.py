@@ -11,6 +11,7 @@ from brinewell.llm.encode import encode_texts
 from brinewell.llm.leaks import find_leaks
 from brinewell.llm.linkage import link
 from brinewell.llm.personal import find_personal, mask_personal
+from brinewell.plans.ingest_queries import _texts_sql
 from brinewell.sources.tables import table
 
 TOLERANCE_NS = 600_000_000_000
@@ -76,4 +77,14 @@ QUERIES = {
     "p1_found": p1_found, "p1_links": p1_links, "p6_found": p6_found, "p6_nearest": p6_nearest, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
     "p10_masked": p10_masked,
 }
-SQL: dict[str, str] = {}
+_NEAREST = f"""with {_texts_sql()},
+polls as (select cast(t.row_key as bigint) as cross_id, t.epoch_ns as polled, m.manifold_market_id as market_id from t join cross_source_snapshots c on cast(c.id as varchar) = t.row_key
+  join (select distinct external_market_id, manifold_market_id from market_matches where status = 'confirmed') m on m.external_market_id = c.market_id where t.origin = 'cross_source_snapshots'),
+readings as (select 'probability_snapshots' as origin, id, market_id, ts_ns from probability_snapshots union all select 'feature_snapshots', id, market_id, ts_ns from feature_snapshots),
+near as (select cross_id, id as snapshot_id, origin, abs(ts_ns - polled) as distance_ns,
+  row_number() over (partition by cross_id, polls.market_id, origin order by abs(ts_ns - polled), ts_ns, id) as k
+  from polls join readings on readings.market_id = polls.market_id and ts_ns between polled - {TOLERANCE_NS} and polled + {TOLERANCE_NS})"""
+SQL = {
+    "p6_nearest": f"{_NEAREST} select cross_id, snapshot_id, origin, distance_ns from near where k = 1",
+    "p6_found": f"{_NEAREST} select cross_id, snapshot_id, origin from near where k = 1",
+}
