@@ -27,10 +27,16 @@ def asof_backward(probes: DataFrame, facts: DataFrame, key: str, probe_time: str
 
     Of facts with one time the greatest tie counts, a null value included. Probes with a null key or time get null.
     """
+    asked = probes.select(F.col(key).alias("k"), F.col(probe_time).alias("t"), F.struct(*probes.columns).alias("row"))
+    answered = _answered(asked, facts, key, fact_time, tie, value, slot_ns)
+    missed = asked.where("k is null or t is null").select("row", F.lit(None).cast(facts.schema[value].dataType).alias("v"))
+    return answered.unionByName(missed).select("row.*", F.col("v").alias(out))
+
+
+def _answered(asked: DataFrame, facts: DataFrame, key: str, fact_time: str, tie: str, value: str, slot_ns: int) -> DataFrame:
+    """row and v, the value known at t, of each of asked (k, t, row) with a key and a time."""
     slot = lambda c: F.expr(f"({c} - pmod({c}, {slot_ns})) div {slot_ns}")
-    carried = probes.withColumn("__probe", F.monotonically_increasing_id())
-    asked = carried.select(F.col(key).alias("k"), F.col(probe_time).alias("t"), F.struct(*carried.columns).alias("row")).where("k is not null and t is not null")
-    asked = asked.withColumn("s", slot("t"))
+    asked = asked.where("k is not null and t is not null").withColumn("s", slot("t"))
     known = facts.select(F.col(key).alias("k"), F.col(fact_time).alias("t"), F.struct(F.col(fact_time).alias("t"), F.col(tie).alias("i"), F.col(value).alias("v")).alias("f"))
     known = known.where("k is not null and t is not null").withColumn("s", slot("t"))
     ends = known.groupBy("k", "s").agg(F.max_by("f", F.struct("f.t", "f.i")).alias("f"))
@@ -44,16 +50,25 @@ def asof_backward(probes: DataFrame, facts: DataFrame, key: str, probe_time: str
         asked.withColumn("f", F.lit(None).cast(ends.schema["f"].dataType)).withColumn("p", F.lit(1)).select("k", "s", "t", "f", "row", "p")
     )
     order = Window.partitionBy("k", "s").orderBy("t", "p", F.col("f.i")).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("last", F.last("f", ignorenulls=True).over(order)).where("p = 1")
-    answered = found.select("row.*", F.col("last.v").alias(out)).drop("__probe")
-    missed = probes.where(F.col(key).isNull() | F.col(probe_time).isNull()).withColumn(out, F.lit(None).cast(facts.schema[value].dataType))
-    return answered.unionByName(missed)
+    return both.withColumn("last", F.last("f", ignorenulls=True).over(order)).where("p = 1").select("row", F.col("last.v").alias("v"))
 
 
 def asof_with_latency(signals: DataFrame, facts: DataFrame, latency_ns: int, key: str = "market_id", time: str = "ts_ns", value: str = "probability") -> DataFrame:
-    """The value at the signal and at the signal plus the latency."""
-    now = asof_backward(signals, facts, key, time, "ts_ns", "id", value, "signal_price")
-    return asof_backward(now.withColumn("exec_ns", F.col(time) + latency_ns), facts, key, "exec_ns", "ts_ns", "id", value, "fill_price")
+    """The value at the signal and at the signal plus the latency, with one pass over the facts: both times of a signal ask in it.
+
+    Equal signals get equal values; they travel as one row with their number.
+    """
+    names = signals.columns
+    one = signals.groupBy(*names).agg(F.count("*").alias("__times")) if names else signals
+    row = F.struct(*names, "__times")
+    ask = F.explode(F.array(F.struct(F.col(time).alias("t"), F.lit(True).alias("now")), F.struct((F.col(time) + latency_ns).alias("t"), F.lit(False).alias("now"))))
+    asked = one.select(F.col(key).alias("k"), row.alias("signal"), ask.alias("a")).select("k", F.col("a.t").alias("t"), F.struct("signal", "a.now").alias("row"))
+    answered = _answered(asked, facts, key, "ts_ns", "id", value, HOUR_NS).select("row.signal.*", F.when(F.col("row.now"), F.col("v")).alias("now"), F.when(~F.col("row.now"), F.col("v")).alias("later"))
+    met = answered.groupBy(*names, "__times").agg(F.max("now").alias("signal_price"), F.max("later").alias("fill_price"))
+    nothing = F.lit(None).cast(facts.schema[value].dataType)
+    missed = one.where(F.col(key).isNull() | F.col(time).isNull()).withColumn("signal_price", nothing).withColumn("fill_price", nothing)
+    whole = met.unionByName(missed).withColumn("exec_ns", F.col(time) + latency_ns)
+    return whole.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*names, "signal_price", "exec_ns", "fill_price")
 
 
 def merged_timeline(members: DataFrame, facts: DataFrame) -> DataFrame:

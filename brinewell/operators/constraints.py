@@ -65,6 +65,28 @@ def entries(ticks: DataFrame, strict_edges: bool = False) -> DataFrame:
     return rows.withColumn("before", before).where("own and actionable and not before").drop("before", "actionable", "own", "chunk", "place", "n")
 
 
+def neighbours(members: DataFrame, group: str = "group_id", member: str = "market_id", prefix: int = 3) -> DataFrame:
+    """Each member of a group with the next one by name: group_id, lhs_market, rhs_market. Names are ordered inside blocks of equal beginnings."""
+    rows = members.select(F.col(group).alias("group_id"), F.col(member).alias("lhs_market"), F.substring(member, 1, prefix).alias("__block"))
+    firsts = rows.groupBy("group_id", "__block").agg(F.min("lhs_market").alias("first"))
+    after = firsts.select("group_id", "__block", F.lead("first").over(Window.partitionBy("group_id").orderBy("__block")).alias("following"))
+    inside = F.lead("lhs_market").over(Window.partitionBy("group_id", "__block").orderBy("lhs_market"))
+    joined = rows.withColumn("rhs_market", inside).join(after, ["group_id", "__block"])
+    return joined.select("group_id", "lhs_market", F.coalesce("rhs_market", "following").alias("rhs_market")).where("rhs_market is not null")
+
+
+def ticks(pairs: DataFrame, timeline: DataFrame, leg_cost: float = LEG_COST) -> DataFrame:
+    """W10's input: constraint_id, ts_ns, gross, net at every time of a pair's timeline at which both prices are known.
+
+    pairs: (group_id, lhs_market, rhs_market, op), a group for each pair; timeline: (group_id, ts_ns, market_id, probability), pivoted in one pass.
+    """
+    marked = timeline.where("probability is not null").join(pairs.select("group_id", "lhs_market", "op"), "group_id")
+    side = lambda left: F.max(F.when((F.col("market_id") == F.col("lhs_market")) == left, F.col("probability")))
+    both = marked.groupBy("group_id", "ts_ns", "op").agg(side(True).alias("l"), side(False).alias("r")).where("l is not null and r is not null")
+    gross = gross_violation(F.col("op"), F.col("l"), F.col("r"))
+    return both.select(F.col("group_id").alias("constraint_id"), "ts_ns", gross.alias("gross"), (gross - 2 * leg_cost).alias("net"))
+
+
 def two_legs(entered: DataFrame) -> DataFrame:
     """An entry as two trades: NO on the dear market, YES on the cheap one, half of the net on each."""
     leg = lambda m, s: F.struct(F.col(m).alias("market_id"), F.lit(s).alias("side"))

@@ -45,6 +45,22 @@ def window_features(
     return (after - before[start]) / seconds, count / seconds, np.sqrt(total), count
 
 
+def arrival_features(ts: np.ndarray, before: np.ndarray, after: np.ndarray, window_ns: int, capacity: int, first: int = 0) -> tuple[np.ndarray, ...]:
+    """The same for bets in order of arrival, whose times need not be in order, from place first on.
+
+    The window of a bet is what arrived among the last `capacity` bets, itself included, with a time from window_ns before its own up to its own.
+    """
+    if np.all(np.diff(ts) >= 0):
+        return tuple(f[first:] for f in window_features(ts, before, after, window_ns, capacity))
+    seconds, out = window_ns / SECOND, []
+    for k in range(first, len(ts)):
+        a = max(0, k - capacity + 1)
+        own = a + np.flatnonzero((ts[a : k + 1] >= ts[k] - window_ns) & (ts[a : k + 1] <= ts[k]))
+        moved = float(np.sqrt((np.diff(after[own]) ** 2).sum()))
+        out.append(((after[k] - before[own[0]]) / seconds, len(own) / seconds, moved, len(own)) if seconds else (0.0, 0.0, moved, len(own)))
+    return tuple(np.array(x) for x in zip(*out)) if out else (np.zeros(0),) * 4
+
+
 def event_time_features(bets: DataFrame, window_ns: int = 60 * SECOND, capacity: int = 512, slots: int = 8) -> DataFrame:
     """One row per bet. Rows with a null market, time or probability give none."""
     if capacity < 1:

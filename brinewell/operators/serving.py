@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewell.operators.asof import latest
@@ -116,6 +116,18 @@ def featured(rows: DataFrame) -> DataFrame:
     return some.agg(F.max_by("market_id", F.struct(F.abs("edge"), "market_id")).alias("market_id"), F.max(F.abs("edge")).alias("edge_size"))
 
 
+def first_marks(rows: DataFrame, key: str, stage: str, at: str, order: str, stages: list[str]) -> DataFrame:
+    """One row per key with a column per stage: of the marks (key, stage, at) of a stage the one that came first in order counts."""
+    first = lambda n: F.min_by(F.when(F.col(stage) == n, F.col(at)), F.when(F.col(stage) == n, F.col(order))).alias(n)
+    return rows.groupBy(key).agg(*[first(n) for n in stages])
+
+
+def monotonic(stages: list[str]) -> Column:
+    """Whether each mark is at or after the mark before it; missing ones are passed over."""
+    marks = F.array_compact(F.array(*stages))
+    return F.forall(F.zip_with(marks, F.slice(marks, 2, len(stages)), lambda x, y: F.coalesce(y >= x, F.lit(True))), lambda ok: ok)
+
+
 def stage_times(rows: DataFrame, marks: list[str]) -> DataFrame:
     """Durations between consecutive marks, null where a mark is missing or runs backwards, and in total."""
     for a, b in zip([*marks[:-1], marks[0]], [*marks[1:], marks[-1]]):
@@ -123,11 +135,46 @@ def stage_times(rows: DataFrame, marks: list[str]) -> DataFrame:
     return rows
 
 
+LEAST_NS, MOST_NS, SUB_BUCKETS = 1, 60_000_000_000, 2048  # of the latency histogram: three digits
+
+
+def histogram(rows: DataFrame, column: str) -> DataFrame:
+    """Low, high, n: the filled buckets of a histogram of three digits; values are held within 1 ns to 60 s.
+
+    Values below SUB_BUCKETS have buckets of their own, each doubling beyond has half as many, twice as wide: at most some 28,000 buckets.
+    """
+    v = F.least(F.greatest(F.col(column).cast("bigint"), F.lit(LEAST_NS)), F.lit(MOST_NS))
+    level = F.greatest(F.length(F.bin(v)) - 11, F.lit(0))  # doublings beyond the first buckets
+    width = F.expr("shiftleft(1L, level)")
+    rows = rows.where(F.col(column).isNotNull()).select(v.alias("v"), level.alias("level"))
+    return rows.select((F.col("v") - F.pmod("v", width)).alias("low"), width.alias("width")).groupBy("low", "width").agg(F.count("*").alias("n"))
+
+
 def latency_report(rows: DataFrame, column: str) -> DataFrame:
-    """Count, exact percentiles, greatest and mean of a duration; values are held within 1 ns to 60 s."""
-    v = F.least(F.greatest(F.col(column), F.lit(1)), F.lit(60_000_000_000))
-    q = [F.percentile(v, F.lit(p)).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999"))]
-    return rows.where(F.col(column).isNotNull()).agg(F.count("*").alias("n"), *q, F.max(v).alias("greatest"), F.avg(v).alias("mean"))
+    """One row: count, percentiles, greatest and mean of a duration by the histogram; a percentile is the top of its bucket, the mean weighs middles."""
+    # The windows see buckets, not rows: a bounded number of them.
+    buckets = histogram(rows, column).withColumn("high", F.col("low") + F.col("width") - 1)
+    up_to = Window.partitionBy(F.lit(0)).orderBy("low")
+    counted = buckets.withColumn("upto", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.lit(q) * F.col("all")), F.lit(1)), F.col("high")))
+    middle = F.col("low") + F.expr("width div 2")
+    return counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[at(q).alias(name) for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999"))],
+        F.max("high").alias("greatest"), (F.sum(F.col("n") * middle) / F.nullif(F.sum("n"), F.lit(0))).alias("mean"),
+    )
+
+
+def rates(rows: DataFrame, time_ms: str, seconds: int) -> DataFrame:
+    """Per interval that has a row: its start, events, events so far in all, and events a second."""
+    start = F.expr(f"`{time_ms}` - pmod(`{time_ms}`, {seconds * 1000})")
+    counted = rows.where(F.col(time_ms).isNotNull()).groupBy(start.alias("start_ms")).agg(F.count("*").alias("n"))
+    # Running totals by day first, so that no task sees more than a day of intervals and the days.
+    day = F.expr("start_ms - pmod(start_ms, 86400000)")
+    days = counted.groupBy(day.alias("day")).agg(F.sum("n").alias("of_day"))
+    before = F.sum("of_day").over(Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counted.withColumn("day", day).join(days.select("day", F.coalesce(before, F.lit(0)).alias("before")), "day")
+    inside = F.sum("n").over(Window.partitionBy("day").orderBy("start_ms"))
+    return placed.select("start_ms", "n", (F.col("before") + inside).alias("total"), (F.col("n") / seconds).alias("per_second"))
 
 
 def markdown(rows: DataFrame, title: str) -> str:

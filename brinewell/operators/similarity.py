@@ -1,12 +1,13 @@
 """Similarity search of a stated set of vectors against all others (J10, D15 to D17, O6), and insertion of what is new.
 
-The queries are worked on in blocks of bounded size, one after the other; a block travels to the vectors, each task scores its vectors against a block by one
-matrix product and hands on its best k a query, so that no pair below a task's best is ever shuffled.
+The queries are worked on in blocks of bounded size, WAVE of them in one job; a block travels to the vectors, each task scores its vectors against a block by one
+matrix product and hands on its best k a query, so that no pair below a task's best is ever shuffled. What the driver holds is bounded by a wave.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from brinewell.session import shared_dir
 
 BLOCK_QUERIES = 2000
+WAVE = 16
 MATCHES = "left_id bigint, right_id bigint, cosine double, score double"
 
 
@@ -62,20 +64,29 @@ def top_matches(left: DataFrame, right: DataFrame, top: int = 3, threshold: floa
     left and right: (id bigint, v array<float>, day double?); an unknown day counts as near; a zero vector has cosine 0; rows without a vector or with
     one of another length match nothing; equal scores rank by the right id; a row is no match of its own id.
     """
-    spark, block, path = left.sparkSession, [], None
+    spark, block, wave, path = left.sparkSession, [], [], None
     facts = right.select("id", F.col("v").cast("array<double>").alias("v"), F.col("day").cast("double").alias("day"))
-    found = lambda b: _block(spark, facts, b, top, threshold, weight, decay_days)
+
+    def scored() -> DataFrame:
+        return reduce(DataFrame.unionByName, [_block(spark, facts, b, top, threshold, weight, decay_days) for b in wave])
+
     for r in left.select("id", F.col("v").cast("array<double>"), F.col("day").cast("double")).where("v is not null and size(v) > 0").toLocalIterator():
         if block and (len(block) >= BLOCK_QUERIES or len(r[1]) != len(block[0][1])):
-            path = path or shared_dir(spark, "similar")
-            found(block).write.mode("append").parquet(path)
+            wave.append(block)
             block = []
+            if len(wave) == WAVE:
+                path = path or shared_dir(spark, "similar")
+                scored().write.mode("append").parquet(path)
+                wave = []
         block.append(r)
-    if not block:
+    if block:
+        wave.append(block)
+    if not wave and not path:
         return spark.createDataFrame([], MATCHES + ", rank int")
-    out = found(block)
+    out = scored() if wave else None
     if path:
-        out.write.mode("append").parquet(path)
+        if out is not None:
+            out.write.mode("append").parquet(path)
         out = spark.read.parquet(path)
     best = Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)

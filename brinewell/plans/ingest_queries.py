@@ -220,7 +220,7 @@ def _texts_sql() -> str:
   select 'markets' as origin, market_id as row_key, close_time as written from markets
   union all select 'cross_source_snapshots', cast(id as varchar), polled_at from cross_source_snapshots
   union all select distinct 'polymarket_markets', conditionId, endDate from polymarket_markets),
-r as (select *, regexp_extract(lower(trim(written, ' ')), '{_WRITTEN}', [{names}]) as p, try_cast(case when regexp_full_match(written, '\d{{9,19}}') then written end as bigint) as ts_ns from w),
+r as (select *, regexp_extract(lower(trim(written, ' ')), '{_WRITTEN}', [{names}]) as p, try_cast(case when regexp_full_match(written, '\\d{{9,19}}') then written end as bigint) as ts_ns from w),
 c as (select *, make_date({n('y1', 'y2', 'y3', 'y4', 'y5', 'y6')}, {n('m1', 'm2', 'm3', 'm4')[:-1]}, {month}), 1) as first, {n('d1', 'd2', 'd3', 'd4', 'd5', 'd6')} as day, {hour} as hour,
   {zero('i1', 'i2')} as minute, {zero('s1', 's2')} as second from r where {n('m1', 'm2', 'm3', 'm4')[:-1]}, {month}, 1) between 1 and 12),
 v as (select *, make_timestamp(epoch_us(first + interval (day - 1) day) + cast((hour * 60 + minute) * 60 + second as bigint) * 1000000) as local

@@ -158,9 +158,11 @@ cast(floor(avg(-(y * ln(least(greatest(p, 1e-6), 1 - 1e-6)) + (1 - y) * ln(1 - l
 (select cast(floor(sum(k * abs(my - mp)) / sum(k) * 1e6 + 0.5) as bigint) from r) as ece_e6 from s""",
     "r_a3_reliability": _w(_P, _N, _SC) + """, r as (select least(greatest(cast(trunc(p * 10) as integer), 0), 9) as bin, count(*) as k, avg(p) as mp, avg(y) as my from s group by 1)
 select cast(g.i as integer) as bin, coalesce(k, 0) as count, cast(floor(mp * 1e6 + 0.5) as bigint) as mean_e6, cast(floor(my * 1e6 + 0.5) as bigint) as observed_e6 from range(10) g(i) left join r on r.bin = g.i""",
-    "r_a7_latency": f"""with w as (select greatest(1, least(60000000000, w.received_ms - s.bet.createdTime)) as v from ({_SESSION}) s join ws_session w using (line_no) where s.bet.createdTime is not null and w.received_ms is not null)
-select count(*) as n, max(v) as greatest, cast(floor(quantile_cont(v, 0.5) * 1e3 + 0.5) as bigint) as p50_e3, cast(floor(quantile_cont(v, 0.95) * 1e3 + 0.5) as bigint) as p95_e3,
-cast(floor(quantile_cont(v, 0.99) * 1e3 + 0.5) as bigint) as p99_e3, cast(floor(avg(v) * 1e3 + 0.5) as bigint) as mean_e3 from w""",
+    "r_a7_latency": f"""with w as (select greatest(1, least(60000000000, (w.received_ms - s.bet.createdTime) * 1000000)) as v from ({_SESSION}) s join ws_session w using (line_no) where s.bet.createdTime is not null and w.received_ms is not null),
+h as (select v, cast(pow(2, greatest(0, floor(log2(v)) - 10)) as bigint) as width from w), b as (select v // width * width as low, width, count(*) as n from h group by 1, 2),
+u as (select *, low + width - 1 as high, sum(n) over (order by low) as upto, sum(n) over () as whole from b)
+select cast(sum(n) as bigint) as n, min(high) filter (upto >= ceil(0.5 * whole)) as p50, min(high) filter (upto >= ceil(0.95 * whole)) as p95, min(high) filter (upto >= ceil(0.99 * whole)) as p99,
+min(high) filter (upto >= ceil(0.999 * whole)) as p999, max(high) as greatest, cast(floor(sum(n * (low + width // 2)) / cast(sum(n) as double) * 1e3 + 0.5) as bigint) as mean_e3 from u""",
     "r_a10_categories": "select coalesce(category, 'Other') as category, count(*) as n from markets group by 1",
     "r_a13_counts": _w(_P, _N, _L, _V) + """select (select count(*) from markets where resolved_outcome is null) as open_markets, (select count(*) from v where gross > 0 and gross - 0.04 > 0) as constraint_signals,
 (select count(distinct group_id) from v where gross > 0) as inconsistent_groups""",

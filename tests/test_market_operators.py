@@ -1,6 +1,7 @@
 from datetime import UTC, datetime
 
 import json
+import math
 import random
 
 import pytest
@@ -341,7 +342,43 @@ def test_stage_times(spark):
     rows = spark.createDataFrame([(1, 3, 6), (5, 4, 9), (1, None, 2)], "a bigint, b bigint, z bigint")
     assert [(r.a_b, r.b_z, r.a_z) for r in serving.stage_times(rows, ["a", "b", "z"]).collect()] == [(2, 3, 5), (None, 5, 4), (None, None, 1)]
     r = serving.latency_report(spark.createDataFrame([(k,) for k in range(1, 101)], "w bigint"), "w").first()
-    assert (r.n, r.p50, r.greatest) == (100, 50.5, 100)
+    assert (r.n, r.p50, r.p999, r.greatest, r.mean) == (100, 50, 100, 100, 50.5)
+
+
+def test_histogram_of_three_digits(spark):
+    r = random.Random(5)
+    values = [r.randrange(1, 10 ** r.randint(1, 13)) for _ in range(3000)]
+    got = serving.latency_report(spark.createDataFrame([(v,) for v in values], "w bigint"), "w").first()
+    held = sorted(min(v, 60_000_000_000) for v in values)
+    for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999")):
+        exact = held[max(1, math.ceil(q * len(held))) - 1]
+        assert exact <= got[name] <= exact * 1.001 + 1
+    assert got.n == 3000 and serving.histogram(spark.createDataFrame([(v,) for v in values], "w bigint"), "w").agg(F.sum("n")).first()[0] == 3000
+    assert serving.latency_report(spark.createDataFrame([], "w bigint"), "w").first().n == 0
+
+
+def test_first_mark_wins_and_order_is_checked(spark):
+    marks = [(1, "a", 5, 1), (1, "a", 3, 2), (1, "b", 9, 3), (2, "a", 5, 1), (2, "c", 4, 2), (3, "b", 1, 1), (4, "a", 7, 2), (4, "b", 6, 1), (4, "c", 9, 3)]
+    rows = serving.first_marks(spark.createDataFrame(marks, "k int, stage string, at bigint, n int"), "k", "stage", "at", "n", ["a", "b", "c"])
+    got = {r.k: (r.a, r.b, r.c, r.ok) for r in rows.withColumn("ok", serving.monotonic(["a", "b", "c"])).collect()}
+    assert got == {1: (5, 9, None, True), 2: (5, None, 4, False), 3: (None, 1, None, True), 4: (7, 6, 9, False)}
+
+
+def test_events_by_interval(spark):
+    rows = spark.createDataFrame([(0,), (999,), (1000,), (90_000_000,), (None,)], "at bigint")
+    assert sorted(map(tuple, serving.rates(rows, "at", 1).collect())) == [(0, 2, 2, 2.0), (1000, 1, 3, 1.0), (90_000_000, 1, 4, 1.0)]
+
+
+def test_neighbours_over_blocks(spark):
+    names = sorted({"".join(random.Random(k).choices("abc", k=5)) for k in range(120)})
+    rows = constraints.neighbours(spark.createDataFrame([("g", n) for n in names], "group_id string, market_id string"), prefix=2)
+    assert sorted((r.lhs_market, r.rhs_market) for r in rows.collect()) == list(zip(names, names[1:]))
+
+
+def test_asof_with_latency_keeps_equal_signals(spark):
+    s = spark.createDataFrame([("m", 1000), ("m", 1000), ("x", 5), (None, 7), ("m", None)], "market_id string, ts_ns bigint")
+    got = sorted(asof.asof_with_latency(s, facts(spark, [(1, "m", 1000, 0.5), (2, "m", 2000, 0.7)]), 1000).collect(), key=str)
+    assert [(r.market_id, r.ts_ns, r.signal_price, r.fill_price) for r in got] == sorted([("m", 1000, 0.5, 0.7)] * 2 + [("x", 5, None, None), (None, 7, None, None), ("m", None, None, None)], key=str)
 
 
 def test_blocks_of_queries_give_the_same(spark, monkeypatch):

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from brinewell.operators import features
@@ -9,7 +10,6 @@ from brinewell.streaming import features as live
 
 S = 10**9
 
-
 def test_stream_equals_batch_over_several_files(spark, tmp_path):
     r = random.Random(4)
     rows = [(k, f"m{r.randrange(4)}", k * S // 3, r.random(), r.random(), 1.0, 1.0, 0) for k in range(400)]
@@ -27,6 +27,34 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     assert ordered
 
 
+def test_late_bets(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(k, "hot" if r.random() < 0.6 else f"m{r.randrange(3)}", (k - (r.randrange(60) if r.random() < 0.3 else 0)) * S // 3 + 10**12, r.random(), r.random(), 1.0, 1.0, 0) for k in range(300)]
+    for n in range(3):
+        spark.createDataFrame(rows[n * 100 : n * 100 + 100], BETS).repartition(3).write.parquet(str(tmp_path / f"in/part{n}"))
+    stream = spark.readStream.schema(BETS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
+    q = live.collect(stream, str(tmp_path / "out"), str(tmp_path / "cp"), window_ns=20 * S, capacity=16)
+    q.awaitTermination(240)
+    got = {x.id: x for x in spark.read.parquet(str(tmp_path / "out/feature_snapshots")).collect()}
+    held = {}
+    for k, m, t, before, after, *_ in rows:
+        seen = held.setdefault(m, [])
+        seen.append((t, before, after))
+        own = [x for x in seen[-16:] if t - 20 * S <= x[0] <= t]
+        want = ((after - own[0][1]) / 20, len(own) / 20, sum((y[2] - x[2]) ** 2 for x, y in zip(own, own[1:])) ** 0.5)
+        assert (got[k].prob_velocity, got[k].bet_arrival_rate, got[k].realized_vol) == pytest.approx(want)
+    assert len(got) == 300
+
+
+def test_lander(spark, tmp_path):
+    bet = {"id": "1", "contractId": "m", "createdTime": 1000, "probBefore": 0.5, "probAfter": 0.6, "amount": 1.0, "shares": 2.0}
+    frames = [json.dumps({"type": "broadcast", "data": {"bets": [bet] * n}}) for n in (1, 2)] + ["pong", "[]"]
+    assert live.land(iter(frames), str(tmp_path / "in"), per_file=1) == 4 and live.land(iter(frames), str(tmp_path / "in"), first_line=4) == 8
+    q = live.read_frames(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("landed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    assert sorted(r.id - live.PLACES * (r.id // live.PLACES) + 10 * (r.id // live.PLACES) for r in spark.table("landed").collect()) == [0, 10, 11, 40, 50, 51]
+
+
 def test_frames_from_files(spark, tmp_path):
     bet = {"id": "1", "contractId": "m", "createdTime": 1000, "probBefore": 0.5, "probAfter": 0.6, "amount": 1.0, "shares": 2.0}
     lines = [{"line_no": 1, "type": "broadcast", "data": {"bets": [bet, None, bet]}}, {"line_no": 2, "type": "ack"}]
@@ -34,7 +62,7 @@ def test_frames_from_files(spark, tmp_path):
     (tmp_path / "in/a.json").write_text("\n".join(map(json.dumps, lines)))
     q = live.read_frames(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("frames_in").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
-    assert sorted(r.id for r in spark.table("frames_in").collect()) == [10_000, 10_002]
+    assert sorted(r.id for r in spark.table("frames_in").collect()) == [live.PLACES, live.PLACES + 2]
 
 
 def test_backoff():
