@@ -156,16 +156,54 @@ def rounded(x: Column, scale: float) -> Column:
     return F.floor(x * scale + 0.5).cast("bigint")
 
 
-def percent(p: Column, digits: int = 0) -> Column:
-    """Null and NaN give a dash."""
-    return F.when(p.isNull() | F.isnan(p), "—").otherwise(F.concat(F.format_number(p * 100, digits), F.lit("%")))
+DASH = "\u2014"
+
+
+def _missing(x: Column) -> Column:
+    return x.isNull() | F.isnan(x)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """x with so many decimals; a half goes up, away from what is less."""
+    scaled = F.floor(x * 10**digits + 0.5).cast("bigint")
+    size = F.lpad(F.abs(scaled).cast("string"), F.greatest(F.length(F.abs(scaled).cast("string")), F.lit(digits + 1)), "0")
+    whole = F.concat(F.left(size, F.length(size) - digits), F.lit("."), F.right(size, F.lit(digits))) if digits else size
+    return F.concat(F.when(scaled < 0, "-").otherwise(""), whole)
+
+
+def percent(p: Column, digits: int = 1) -> Column:
+    """A probability as a percentage; null and NaN give a dash, here and below."""
+    return F.when(_missing(p), DASH).otherwise(F.concat(fixed(p * 100, digits), F.lit("%")))
 
 
 def signed_points(edge: Column) -> Column:
     """An edge in percentage points with its sign."""
-    return F.when(edge.isNull() | F.isnan(edge), "—").otherwise(
-        F.concat(F.when(edge >= 0, "+").otherwise("-"), F.format_number(F.abs(edge) * 100, 1), F.lit(" pp"))
-    )
+    return F.when(_missing(edge), DASH).otherwise(F.concat(F.when(edge * 100 >= 0, "+").otherwise(""), fixed(edge * 100, 1), F.lit(" pp")))
+
+
+def signed_value(ev: Column) -> Column:
+    """An expected value of a unit stake with its sign."""
+    return F.when(_missing(ev), DASH).otherwise(F.concat(F.when(ev >= 0, "+").otherwise(""), fixed(ev, 3)))
+
+
+def minute_text(ns: Column) -> Column:
+    """Epoch nanoseconds as a UTC minute."""
+    ms = (ns - F.pmod(ns, F.lit(1_000_000))) / 1_000_000
+    return F.when(ns.isNull(), DASH).otherwise(F.date_format(F.timestamp_millis(ms.cast("bigint")), "yyyy-MM-dd HH:mm 'UTC'"))
+
+
+def date_text(iso: Column) -> Column:
+    """An ISO time as 'Sep 20, 2026' in UTC; a dash for null and '', the text itself where it can't be read."""
+    at = F.timestamp_micros((iso_ns(iso) / 1000).cast("bigint"))
+    return F.when(iso.isNull() | (iso == ""), DASH).otherwise(F.coalesce(F.date_format(at, "MMM d, yyyy"), iso))
+
+
+def edge_span(market: Column, model: Column) -> list[Column]:
+    """Both prices within 0..1, the lower and the higher of them, and whether the model's is not the lower; null where one is missing."""
+    none = _missing(market) | _missing(model)
+    a, b = clamp(market), clamp(model)
+    some = lambda x: F.when(~none, x)
+    return [some(F.least(a, b)).alias("low"), some(F.greatest(a, b)).alias("high"), some(b >= a).alias("positive")]
 
 
 def ref_label(label: Column, ref: Column) -> Column:

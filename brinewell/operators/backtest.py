@@ -36,11 +36,20 @@ def settled(trades: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def totals(trades: DataFrame) -> DataFrame:
-    """One row; every figure but the count is null or 0 where there is no trade, so callers check n first."""
+    """One row; every figure but the count is null or 0 where there is no trade, so callers check n first.
+
+    Edges are per unit staked: the realized one of the profit, the theoretical one of what each trade's theoretical_edge, where the trades have it, promised.
+    """
     won = F.sum((F.col("pnl") > 0).cast("int"))
+    per_stake = lambda x: F.coalesce(x / F.nullif(F.sum("stake"), F.lit(0.0)), F.lit(0.0))
+    promised = F.sum(F.col("theoretical_edge") * F.col("stake")) if "theoretical_edge" in trades.columns else F.lit(None).cast("double")
+    more = [
+        F.sum("stake").alias("stake"), F.sum(F.col("pnl") + F.col("cost")).alias("payout"), promised.alias("theoretical_pnl"), per_stake(F.sum("pnl")).alias("realized_edge"),
+        per_stake(promised).alias("theoretical_edge"),
+    ] if "stake" in trades.columns else []
     return trades.agg(
         F.count("*").alias("n"), F.coalesce(won, F.lit(0)).alias("wins"), (won / F.nullif(F.count("*"), F.lit(0))).alias("hit_rate"),
-        F.sum("pnl").alias("pnl"), F.sum("cost").alias("cost"), F.coalesce(F.sum("pnl") / F.nullif(F.sum("cost"), F.lit(0.0)), F.lit(0.0)).alias("roi"),
+        F.sum("pnl").alias("pnl"), F.sum("cost").alias("cost"), F.coalesce(F.sum("pnl") / F.nullif(F.sum("cost"), F.lit(0.0)), F.lit(0.0)).alias("roi"), *more,
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +88,20 @@ def report(df: DataFrame, bins: int = 10) -> DataFrame:
     return side_by_side(scores, calibration_error(reliability(df, bins)))
 
 
+def predicted_by(rows: DataFrame, model, columns: tuple[str, ...] = FEATURES, out: str = "p_model") -> DataFrame:
+    """Scores of any fitted object with predict_proba(pandas frame of columns); of two columns of results the last is the probability of yes.
+
+    The object travels to the workers; rows are scored an Arrow batch at a time.
+    """
+
+    @F.pandas_udf("double")
+    def score(part: pd.DataFrame) -> pd.Series:
+        p = np.asarray(model.predict_proba(part.set_axis(list(columns), axis=1)), float)
+        return pd.Series(p[:, -1] if p.ndim == 2 else p)
+
+    return rows.withColumn(out, score(F.struct(*columns)))
+
+
 class BaselineModel:
     """Mean imputation, standardization by population deviation, and logistic regression with the ridge of C = 1.
 

@@ -110,3 +110,17 @@ def divergence_signals(found: DataFrame, detected_at: str) -> DataFrame:
         F.lit("cross_source_divergence").alias("type"), F.to_json(F.array("manifold_market_id", "external_market_id")).alias("market_refs"), "edge",
         F.lit(detected_at).alias("detected_at"), details.alias("details_json"),
     )
+
+
+def detection(constraints: DataFrame | None, matches: DataFrame, prices: DataFrame, polls: DataFrame, detected_at: str, threshold: float = 0.05) -> DataFrame:
+    """One detection pass: the signals of divergences of confirmed matches and, where constraints are given, of their actionable violations.
+
+    Appended as they are they accumulate; sinks.replace_kind() writes them in place of the earlier ones of their kinds.
+    """
+    out = divergence_signals(divergences(matches, prices, polls, threshold), detected_at)
+    return out if constraints is None else out.unionByName(constraint_signals(violations(constraints, prices), detected_at))
+
+
+def entry_counts(entered: DataFrame) -> DataFrame:
+    """A11."""
+    return entered.groupBy("constraint_id").agg(F.count("*").alias("n"))

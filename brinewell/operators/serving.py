@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinewell.functions.domain import DASH, gross_violation
 from brinewell.operators.asof import latest
 from brinewell.operators.calibration import side_by_side
 from brinewell.operators.features import last_values
@@ -26,10 +27,15 @@ def listed_order() -> list[Column]:
     return [F.col("ts_ns").isNull(), F.col("ts_ns").desc(), F.col("market_id")]
 
 
-def explorer_order(by: str) -> list[Column]:
+def explorer_key(by: str) -> Column:
     """A missing probability counts as -1, a missing value as minus infinity, a missing edge as 1, which puts it on top."""
-    key = {"probability": F.coalesce("probability", F.lit(-1.0)), "ev": F.coalesce("ev", F.lit(float("-inf"))), "edge": F.coalesce(F.abs("edge"), F.lit(1.0))}[by]
-    return [key.desc(), F.col("market_id")]
+    keys = {"probability": F.coalesce("probability", F.lit(-1.0)), "ev": F.coalesce("ev", F.lit(float("-inf"))), "edge": F.coalesce(F.abs("edge"), F.lit(1.0))}
+    return keys[by]
+
+
+def explorer_order(by: str) -> list[Column]:
+    """The greatest key first, then by id."""
+    return [explorer_key(by).desc(), F.col("market_id")]
 
 
 def market(markets: DataFrame, market_id: str) -> DataFrame:
@@ -51,11 +57,54 @@ def page(signals: DataFrame, kind: str | None = None, limit: int = 50, offset: i
 
 
 def pager(total: int, limit: int, offset: int) -> dict:
-    """O12, A9."""
+    """O12."""
     end = min(offset + limit, total)
     return {"start": offset + 1 if total else 0, "end": end, "has_prev": offset > 0, "has_next": end < total}
 
 
+def pager_columns(total: Column, limit: Column, offset: Column) -> list[Column]:
+    """O12 over rows of totals and offsets."""
+    end = F.least(offset + limit, total)
+    return [F.when(total > 0, offset + 1).otherwise(0).alias("start"), end.alias("end"), (offset > 0).alias("has_prev"), (end < total).alias("has_next")]
+
+
+def total(signals: DataFrame, kind: str | None = None) -> DataFrame:
+    """The number of rows that the page's filter leaves; one row."""
+    return (signals if kind is None else signals.where(F.col("type") == kind)).agg(F.count("*").alias("total"))
+
+
+def signals_view(signals: DataFrame, markets: DataFrame, kind: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Q6: a page of signals, each with the labels of its markets and the total of the filter."""
+    labelled = signal_labels(page(signals, kind, limit, offset), markets)
+    one = total(signals, kind).withColumn("__one", F.lit(1))
+    return labelled.withColumn("__one", F.lit(1)).join(one, "__one").drop("__one")
+
+
+def groups_view(members: DataFrame, constraints: DataFrame, markets: DataFrame, prices: DataFrame, leg_cost: float = 0.02) -> DataFrame:
+    """Q5: a row per group: its category, whether it is consistent, its markets and its constraints, nested in order; violations rounded to 4 places.
+
+    members: (group_id, pos, market_id), constraints: (group_id, pos, lhs_market, op, rhs_market). Missing prices count as holding. A group's lists are as long as its
+    configuration.
+    """
+    known = members.join(markets.select("market_id", "question_text", "category"), "market_id", "left").join(prices.select("market_id", "probability"), "market_id", "left")
+    listed = known.groupBy("group_id").agg(
+        F.min_by("category", F.when(F.col("category") != "", F.col("pos"))).alias("category"),
+        F.sort_array(F.collect_list(F.struct("pos", "market_id", "question_text", "probability"))).alias("markets"),
+    )
+    price = lambda side: prices.select(F.col("market_id").alias(f"{side}_market"), F.col("probability").alias(f"{side}_prob"))
+    rows = constraints.join(price("lhs"), "lhs_market", "left").join(price("rhs"), "rhs_market", "left")
+    gross = F.coalesce(gross_violation(F.col("op"), F.col("lhs_prob"), F.col("rhs_prob")), F.lit(0.0))
+    judged = rows.withColumn("gross", gross).withColumn("holds", F.col("gross") <= 0)
+    parts = F.struct("pos", "lhs_market", "op", "rhs_market", "holds", F.round("gross", 4).alias("gross"), F.round(F.col("gross") - 2 * leg_cost, 4).alias("net"))
+    told = judged.groupBy("group_id").agg(F.min("holds").alias("consistent"), F.sort_array(F.collect_list(parts)).alias("constraints"))
+    return listed.join(told, "group_id", "left").withColumn("consistent", F.coalesce("consistent", F.lit(True)))
+
+
+def first_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n of an order, as a page shows them."""
+    return rows.orderBy(*order).limit(n)
+
+
 def signal_labels(signals: DataFrame, markets: DataFrame) -> DataFrame:
     """Signals with a map of the questions of the markets they refer to; unknown ones are left out."""
     refs = signals.select("id", F.explode(F.from_json("market_refs", "array<string>")).alias("market_id"))
@@ -178,6 +227,43 @@ def rates(rows: DataFrame, time_ms: str, seconds: int) -> DataFrame:
 
 
 def markdown(rows: DataFrame, title: str) -> str:
-    """A small frame as a Markdown report."""
+    """A frame as a Markdown report, every row of it; a report is read by a person, so its frame is small."""
     head = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join(head + ["| " + " | ".join("—" if v is None else str(v) for v in r) + " |" for r in rows.limit(1000).collect()]) + "\n"
+    return "\n".join(head + ["| " + " | ".join(DASH if v is None else str(v) for v in r) + " |" for r in rows.toLocalIterator()]) + "\n"
+
+
+def backtest_markdown(total: dict, title: str, note: str, period: str) -> str:
+    """A row of backtest.totals() as a report."""
+    figures = [
+        ("Hit rate", f"{total['hit_rate']:.1%}"), ("Total staked", f"{total['stake']:.2f}"), ("Total cost", f"{total['cost']:.2f}"), ("Total payout", f"{total['payout']:.2f}"),
+        ("**Realized P&L**", f"**{total['pnl']:+.2f}**"), ("Theoretical P&L (model-expected)", f"{total['theoretical_pnl'] or 0.0:+.2f}"), ("ROI (P&L / cost)", f"{total['roi']:+.2%}"),
+        ("Realized edge (P&L / stake)", f"{total['realized_edge']:+.4f}"), ("Theoretical edge (expected / stake)", f"{total['theoretical_edge']:+.4f}"),
+    ]
+    run = ["## Run", "", f"- Range: {period}", f"- Trades: {total['n']}  (wins: {total['wins']})", ""]
+    return "\n".join([f"# {title}", "", f"> {note}", "", *run, "## Results", "", "| Metric | Value |", "|---|---:|", *[f"| {k} | {v} |" for k, v in figures], ""])
+
+
+def calibration_markdown(report: dict, curve: list[dict], title: str, note: str, bins: int = 10) -> str:
+    """A row of calibration.report() and the rows of its reliability curve; empty bins are left out."""
+    run = [f"- Training examples: {report['n']}", f"- Distinct resolved markets: {report['n_markets']}", f"- Base rate (YES fraction): {report['base_rate']:.4f}", ""]
+    scores = ["| Metric | Value |", "|---|---:|", f"| Brier score | {report['brier']:.4f} |", f"| Expected calibration error | {report['ece']:.4f} |", ""]
+    filled = [r for r in sorted(curve, key=lambda r: r["bin"]) if r["count"]]
+    rows = [f"| [{r['bin'] / bins:.2f}, {(r['bin'] + 1) / bins:.2f}) | {r['count']} | {r['mean_predicted']:.4f} | {r['observed']:.4f} |" for r in filled]
+    table = ["| Bin | Count | Mean predicted | Observed frequency |", "|---|---:|---:|---:|", *rows, ""]
+    return "\n".join([f"# {title}", "", f"> {note}", "", "## Run", "", *run, "## Calibration metrics", "", *scores, "## Reliability diagram data", "", *table])
+
+
+def latency_markdown(segments: dict[str, dict], title: str, parameters: dict) -> str:
+    """Rows of latency_report() by segment, in microseconds."""
+    columns = ("p50", "p95", "p99", "p999", "greatest", "mean")
+    rows = [f"| {name} | {r['n']} | " + " | ".join(f"{r[c] / 1000:.3f}" for c in columns) + " |" for name, r in segments.items()]
+    head = ["| Segment | Count | p50 | p95 | p99 | p99.9 | max | mean |", "|---|---:|---:|---:|---:|---:|---:|---:|"]
+    return "\n".join([f"# {title}", "", "## Run parameters", "", *[f"- {k}: {v}" for k, v in parameters.items()], "", "## Per-stage latency (microseconds)", "", *head, *rows, ""])
+
+
+def live_markdown(model: dict, market: dict, title: str) -> str:
+    """The model's report beside the market price's."""
+    names = (("Brier score", "brier"), ("Log loss", "log_loss"), ("Expected calibration error", "ece"))
+    better = "the model" if model["brier"] < market["brier"] else "the market price"
+    rows = [f"| {n} | {model[k]:.4f} | {market[k]:.4f} |" for n, k in names]
+    return "\n".join([f"# {title}", "", "| Metric (holdout, lower is better) | Model | Market price |", "|---|---|---|", *rows, "", f"**Verdict:** {better} is better calibrated.", ""])

@@ -6,10 +6,11 @@ matrix product and hands on its best k a query, so that no pair below a task's b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,6 +93,27 @@ def top_matches(left: DataFrame, right: DataFrame, top: int = 3, threshold: floa
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
 
+def encoded(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], out: str = "v") -> DataFrame:
+    """df with the vector of each text by an injected encoder, list of texts to an array of rows; null texts have none. Texts are encoded an Arrow batch at a time."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        rows = iter(np.asarray(encoder([t for t in texts if t is not None]), float)) if texts.notna().any() else iter(())
+        return pd.Series([None if t is None else next(rows).tolist() for t in texts], dtype=object)
+
+    return df.withColumn(out, vectors(F.col(text)))
+
+
+def match_texts(left: DataFrame, right: DataFrame, encoder: Callable[[list[str]], np.ndarray], **options) -> DataFrame:
+    """J10 over texts: left and right (id bigint, text string, day double?), by the encoder's vectors; options are those of top_matches()."""
+    return top_matches(*[encoded(df, "text", encoder).select("id", "v", "day") for df in (left, right)], **options)
+
+
+def ranked(matches: DataFrame) -> DataFrame:
+    """All matches in one order, the best first, by range partitions."""
+    return matches.orderBy(F.col("score").desc(), "left_id", "right_id")
+
+
 def not_yet_known(candidates: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of candidates whose keys known does not have; one of each."""
     return candidates.dropDuplicates(keys).join(known.select(*keys).distinct(), keys, "left_anti")

@@ -200,7 +200,9 @@ from v, (select unnest(['NO', 'YES']) as s) where gross > 0 and gross - 0.04 > 0
     "r_j13_buckets": """with x as (select distinct on (conditionId) conditionId, volumeNum, substr(conditionId, 3, 1) as bucket from polymarket_markets),
 r as (select *, row_number() over (partition by bucket order by volumeNum desc nulls last, conditionId) as k from x)
 select bucket, conditionId as condition_id from r where (bucket = 'a' and k <= 6) or (bucket = 'b' and k <= 4) or (bucket = 'c' and k <= 3)""",
-    "r_o7_explorer": _w(_P, _N, _PRED) + "select market_id, p_model - p_market as edge from markets left join pr using (market_id) order by coalesce(abs(p_model - p_market), 1.0) desc, market_id limit 40",
+    "r_o7_explorer": _w(_P, _N, _PRED) + """select market_id, coalesce(p_market, -1.0) as by_probability, coalesce(abs(p_model - p_market), 1.0) as by_edge,
+coalesce(case when p_model - p_market >= 0 then p_model * (1 - p_market) - (1 - p_model) * p_market else (1 - p_model) * (1 - (1 - p_market)) - (1 - (1 - p_model)) * (1 - p_market) end - 0.0 - 0.0,
+cast('-inf' as double)) as by_ev from markets left join pr using (market_id)""",
     "r_o8_featured": _w(_P, _N, _PRED) + "select market_id, abs(p_model - p_market) as edge_size from pr order by 2 desc, 1 desc limit 1",
     "r_p9_explored": "select market_id, question_text from markets where contains(lower(question_text), 'win') and resolved_outcome is null",
     "r_p10_watched": _w(_C) + "select market_id from markets where market_id in (select manifold_market_id from m)",
@@ -213,4 +215,98 @@ and bet.contractId not in (select market_id from markets where resolved_outcome
 where is_limit_order = 1 and market_id < 'c' or market_id not in (select market_id from b where is_limit_order = 1 and market_id < 'c') group by 1""",
     "r_j12_new_pairs": "select market_id as manifold_market_id, '0x0' as external_market_id, 'polymarket' as platform from markets",
 }
+_SIGNED = _w(_P, _N, _E, _C, _D, _L, _V, _SIG, "si as (select *, cast('0x' || substr(md5(type || market_refs), 1, 15) as bigint) as id from sg)")
+_ALL = """pa as (select p.id, p.market_id, p.ts_ns, p.probability as p_market, p.probability * 0.9 + 0.06 as p_model from p join markets using (market_id) where resolved_outcome is null),
+pe as (select *, p_model - p_market as edge, case when p_model - p_market >= 0 then p_model * (1 - p_market) - (1 - p_model) * p_market
+  else (1 - p_model) * (1 - (1 - p_market)) - (1 - (1 - p_model)) * (1 - p_market) end - 0.0 - 0.0 as ev from pa),
+pn as (select * from (select *, row_number() over (partition by market_id order by ts_ns desc, id desc) as k from pe) where k = 1)"""
+_LIST = """ml as (select m.market_id, n.probability, n.ts_ns, cast(case when k.c is not null then least(k.c, 24) end as integer) as n_recent from markets m left join n using (market_id)
+left join (select market_id, count(*) as c from p group by 1) k using (market_id))"""
+_GROUP = """gm as (select substr(market_id, 1, 1) as group_id, market_id, category from markets),
+gc as (select l.*, coalesce(case when op = '>=' then z.probability - a.probability else a.probability - z.probability end, 0.0) as g
+  from l left join n a on a.market_id = lhs_market left join n z on z.market_id = rhs_market)"""
+
+
+def _digits(x: str, digits: int) -> str:
+    """x with so many decimals, a half going up."""
+    whole = f"cast(floor({x} * {10**digits} + 0.5) as bigint)"
+    return f"case when {whole} < 0 then '-' else '' end || cast(abs({whole}) // {10**digits} as varchar) || '.' || lpad(cast(abs({whole}) % {10**digits} as varchar), {digits}, '0')"
+
+
+_BACK = """good as (select m.market_id, n.probability from markets m join n using (market_id)),
+gb as (select b.* from b join good using (market_id) where prob_after is not null),
+ser as (select market_id, ts_ns from (select *, row_number() over (partition by market_id order by ts_ns desc, id desc) as k from
+  (select id, market_id, ts_ns from gb union all select 4611686018427387904, market_id, 1600000000000000000 from good)) where k <= 120)"""
+SQL |= {
+    "r_s4_frames": """select line_no, v->>'$.type' as type, v->>'$.topic' as topic, try_cast(v->>'$.txid' as bigint) as txid, try_cast(v->>'$.success' as boolean) as success
+from (select line_no, case when json_valid(raw_text) then cast(raw_text as json) end as v from ws_raw) where v->>'$.type' in ('ack', 'broadcast')""",
+    "r_o2_page": _SIGNED + "select type, market_refs, detected_at from si order by detected_at desc, id desc limit 20 offset 5",
+    "r_o1_q2_markets": _w(_P, _N, _ALL, _LIST) + "select ml.market_id, probability, ml.ts_ns, p_model, edge, ev, n_recent from ml left join pn using (market_id)",
+    "r_o3_predictions": _w(_P, _ALL) + "select market_id, p_model, edge, ev from pn",
+    "r_q3_market": _w(_P, _N, _LIST) + "select * from ml where market_id = (select min(market_id) from p)",
+    "r_q4_o10_series": _w(_P) + "select id, ts_ns, probability from p where market_id = (select min(market_id) from p)",
+    "r_q5_groups": _w(_P, _N, _L, _GROUP) + """select m.group_id, m.category, coalesce(bool_and(g <= 0) over (partition by m.group_id), true) as consistent, n_markets, lhs_market, op, rhs_market, g <= 0 as holds,
+cast(floor(round(greatest(0.0, g), 4) * 1e4 + 0.5) as bigint) as gross_e4, cast(floor(round(greatest(0.0, g) - 0.04, 4) * 1e4 + 0.5) as bigint) as net_e4
+from (select group_id, cast(count(*) as integer) as n_markets, arg_min(category, market_id) filter (category <> '') as category from gm group by 1) m left join gc on gc.group_id = m.group_id""",
+    "r_q5_members": _w(_P, _N, _GROUP.split("),\n")[0] + ")") + """select group_id, cast(row_number() over (partition by group_id order by market_id) - 1 as integer) as place, market_id, probability from gm left join n using (market_id)""",
+    "r_q6_page": _SIGNED + """, k as (select *, count(*) over () as total from si where type = 'cross_source_divergence'), w as (select * from k order by detected_at desc, id desc limit 50)
+select id, market_refs, detected_at, total, cast((select count(distinct m.market_id) from markets m where list_contains(from_json(market_refs, '["VARCHAR"]'), m.market_id)) as integer) as n_labels from w""",
+    "r_p11_mentioning": _SIGNED + """, w as (select * from si order by detected_at desc, id desc limit 200)
+select id, market_refs from w where list_contains(from_json(market_refs, '["VARCHAR"]'), (select min(market_refs->>'$[0]') from si))""",
+    "r_p12_kind": _SIGNED + "select id, type, edge from si where type = 'logical_constraint' order by detected_at desc, id desc limit 200",
+    "r_a9_total": _SIGNED + "select count(*) as total from si where type = 'cross_source_divergence'",
+    "r_o12_pager": _SIGNED + """, t as (select count(*) as total from si), o as (select total, cast(unnest(range(0, total + 1, 10)) as bigint) as offset_ from t)
+select total, offset_ as "offset", case when total > 0 then offset_ + 1 else 0 end as start, least(offset_ + 10, total) as "end", offset_ > 0 as has_prev, least(offset_ + 10, total) < total as has_next from o""",
+    "r_o9_slices": _w(_P, _N, _PRED, _E, _C, _D, _L, _V, _SIG, "si as (select *, cast('0x' || substr(md5(type || market_refs), 1, 15) as bigint) as id from sg)") + """select * from (select 'market' as kind, market_id as ref from pr order by abs(p_model - p_market) desc, market_id limit 8)
+union all select * from (select 'signal', cast(id as varchar) from si order by detected_at desc, id desc limit 6)""",
+    "r_d19_iso": """select line_no, case when coalesce(received_ms, 0) = 0 then '' else strftime(make_timestamp(received_ms * 1000), '%Y-%m-%dT%H:%M:%S') ||
+case when received_ms % 1000 <> 0 then strftime(make_timestamp(received_ms * 1000), '.%f') else '' end || '+00:00' end as iso from ws_session""",
+    "r_d22_formats": _w(_P, _ALL) + f"""select id, {_digits('(p_market * 100)', 1)} || '%' as percent, case when edge * 100 >= 0 then '+' else '' end || {_digits('(edge * 100)', 1)} || ' pp' as points,
+case when ev >= 0 then '+' else '' end || {_digits('ev', 3)} as value, strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d %H:%M UTC') as minute from pe""",
+    "r_d22_dates": f"""select market_id, case when close_time is null or close_time = '' then '\u2014' else coalesce(strftime(make_timestamp({_iso('close_time')} // 1000), '%b %-d, %Y'), close_time) end as day from markets""",
+    "r_d23_labels": """select distinct conditionId, coalesce(case when active then question end, case when starts_with(conditionId, '0x') then substr(conditionId, 1, 6) || '\u2026' || right(conditionId, 4) end, conditionId) as shown from polymarket_markets""",
+    "r_d24_spans": _w(_P, _ALL) + """, q as (select id, least(1.0, greatest(0.0, p_market * 1.2 - 0.1)) as a, least(1.0, greatest(0.0, p_model)) as b from pe)
+select id, least(a, b) as low, greatest(a, b) as high, b >= a as positive from q""",
+    "r_d25_throughput": "select market_id, cast(count(*) as double) as rate0, cast(count(*) * 1000 as double) as rate1, cast(7 as double) as rate2 from bets group by 1",
+    "r_s19_constraints": """select group_id, pos, lhs, op, rhs, group_id || '-' || lhs as lhs_market, group_id || '-' || rhs as rhs_market from (select unnest(['a', 'b']) as group_id) g,
+(select cast(0 as integer) as pos, 'x' as lhs, '<=' as op, 'y' as rhs union all select 1, 'y', '>=', 'z') c""",
+    "r_s19_loaded": """select distinct market_id as manifold_market_id, '0xnew' as external_market_id, 'polymarket' as platform, 'confirmed' as status from markets
+union select manifold_market_id, external_market_id, 'polymarket', 'confirmed' from market_matches m where status <> 'rejected' and not exists
+(select 1 from market_matches k where k.manifold_market_id = m.manifold_market_id and k.external_market_id = m.external_market_id and k.platform = 'polymarket')""",
+    "r_s23_q7_reports": "select * from (values ('latency-v1.md', '# One'), ('latency-v2.md', '# Two')) t(name, text)",
+    "r_s26_demo": _w(_P, _N) + """select substr(market_id, 1, 1) as market_id, cast(48 as bigint) as n, cast(floor(round(least(0.98, greatest(0.02, max(probability))), 4) * 1e4 + 0.5) as bigint) as last_e4, true as above, true as below
+from n group by 1""",
+    "r_s10_search": _w(_P, _N) + """select market_id as id from markets left join n using (market_id) where platform = 'manifold' and contains(lower(question_text), 'win') and resolved_outcome is null
+order by probability desc nulls last, market_id limit 20""",
+    "r_s17_open": "select conditionId, question, volumeNum from (select distinct * from polymarket_markets) where active and not closed",
+    "r_s18_paged": _w(_B) + "select id, market_id, ts_ns from (select *, row_number() over (partition by market_id order by ts_ns desc, id desc) as k from b) where k <= 1000 and prob_after is not null",
+    "r_p6_oldest": "select min(id) as id, manifold_market_id, external_market_id, platform, arg_min(status, id) as status from market_matches group by 2, 3, 4",
+    "r_p6_by_id": "select id, manifold_market_id, status from market_matches where id = (select max(id) from market_matches)",
+    "r_p7_liquid": "select conditionId, count(*) as n from polymarket_markets where coalesce(volumeNum, 0) >= 100 group by 1",
+    "r_k1_four_tables": _w(_B) + """select t as "table", market_id, case when t = 'markets' then 1 else n end as n from (select market_id, count(*) as n from b where prob_before is not null and prob_after is not null group by 1),
+(select unnest(['markets', 'bets', 'probability_snapshots', 'feature_snapshots']) as t)""",
+    "r_k4_export": """select "table", strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d') as dt, count(*) as n, cast(sum(id) as bigint) as ids from (select 'bets' as "table", id, ts_ns from bets
+union all select 'probability_snapshots', id, ts_ns from probability_snapshots union all select 'feature_snapshots', id, ts_ns from feature_snapshots) group by 1, 2""",
+    "r_k9_backfill": _w(_B, _P, _N, _BACK) + """select market_id, count(*) as n, max(ts_ns) as last_ns, 'bets' as "table" from (select market_id, ts_ns from bets where market_id not in (select market_id from good) union all select market_id, ts_ns from gb) group by 1
+union all select market_id, count(*), max(ts_ns), 'probability_snapshots' from (select market_id, ts_ns from probability_snapshots where market_id not in (select market_id from good) union all select * from ser) group by 1
+union all select market_id, count(*), max(ts_ns), 'feature_snapshots' from (select market_id, ts_ns from feature_snapshots where market_id not in (select market_id from good) union all select market_id, 1600000000000000000 from good) group by 1
+union all select market_id, 1, null, case when market_id in (select market_id from good) then 'New' else coalesce(category, '') end from markets""",
+    "r_k13_detection": _w(_P, _N, _E, _C, _D, _L, _V, _SIG) + "select type, market_refs, edge, '2018-04-02T00:00:00+00:00' as detected_at from sg",
+    "r_a6_edges": _w(_B, _P, _FACT, _FILL) + """, st as (select case when (side = 'YES' and resolved_outcome = 1) or (side = 'NO' and resolved_outcome = 0) then shares else 0.0 end as payout, abs(fill_price - 0.5) as te
+from fs join markets using (market_id) where yes is not null and resolved_outcome is not null)
+select count(*) as n, cast(count(*) * 10.0 as double) as stake, cast(floor(sum(payout) * 1e3 + 0.5) as bigint) as payout_e3, cast(floor(sum(te * 10.0) * 1e3 + 0.5) as bigint) as theoretical_pnl_e3,
+cast(floor(sum(payout - 10.0) / (count(*) * 10.0) * 1e6 + 0.5) as bigint) as realized_edge_e6, cast(floor(sum(te * 10.0) / (count(*) * 10.0) * 1e6 + 0.5) as bigint) as theoretical_edge_e6 from st""",
+    "r_a8_rates": """with h as (select received_ms // 3600000 * 3600000 as start_ms, count(*) as n from ws_session where received_ms is not null group by 1)
+select start_ms, n, cast(sum(n) over (order by start_ms) as bigint) as total, cast(floor(n / 3600.0 * 1e9 + 0.5) as bigint) as rate_e9 from h""",
+    "r_w12_marks": """select id, cast(5 as bigint) as a_b, case when id % 3 <> 0 then cast(4 as bigint) end as b_z, case when id % 3 = 0 then cast(3 as bigint) else 9 end as a_z, id % 3 <> 0 as in_order from bets where ts_ns is not null""",
+    "r_u_predict_proba": """select id, market_id, cast(floor(1 / (1 + exp(-(coalesce(nullif(bet_arrival_rate, 'nan'), 0.0) - 2 * coalesce(nullif(prob_velocity, 'nan'), 0.0) - 0.25))) * 1e6 + 0.5) as bigint) as p_e6 from feature_snapshots""",
+}
+_LETTERS = "[cast(length(q) - length(replace(q, x, '')) as double) for x in split('abcdefghijklmnopqrstuvwxyz', '')]"
+SQL["r_u_encoder"] = f"""with l as (select cast('0x' || substr(md5(market_id), 1, 15) as bigint) as id, lower(question_text) as q from markets),
+r as (select lower(question) as q from (select distinct question from polymarket_markets where question is not null)),
+lv as (select id, {_LETTERS} as v from l where id % 50 = 0), rv as (select {_LETTERS} as v from r),
+x as (select id, coalesce(0.8 * list_dot_product(lv.v, rv.v) / nullif(sqrt(list_dot_product(lv.v, lv.v)) * sqrt(list_dot_product(rv.v, rv.v)), 0), 0.0) + 0.2 as score from lv join rv on true)
+select id as left_id, cast(floor(score * 1e6 + 0.5) as bigint) as score_e6, rank from (select *, cast(row_number() over (partition by id order by score desc) as integer) as rank from x where score >= 0.6) where rank <= 3"""
+_POLLS = SQL["r_s14_s16_polymarket"].replace("from polymarket_markets", "from (select distinct * from polymarket_markets)")
+SQL["r_k10_k11_polls"] = f"""with v as ({_POLLS}) select market_id, polled_at, probability as community_prediction from v, (select unnest(['2018-04-01T00:00:00+00:00', '2018-04-03T00:00:00+00:00']) as polled_at)"""
 SQL = {k: v.replace("\n, ", ",\n") for k, v in SQL.items()}

@@ -55,6 +55,7 @@ def read_reports(spark: SparkSession, directory: str, pattern: str) -> DataFrame
 
 
 def throughput(text) -> list:
-    """Events, seconds and events per second of a report's throughput line, without thousands separators."""
-    line = r"([\d,]+) events in ([\d.]+) ?s.*?([\d,]+(?:\.\d+)?) (?:events/s|ev/s)"
+    """The three rates of a report's throughput row, without thousands separators; null where there is none."""
+    rate = r"\s*([\d,]+)\s*ev/s\s*\|"
+    line = r"(?i)throughput\s*\|" + rate * 2 + rate[:-2]
     return [F.regexp_replace(F.regexp_extract(text, line, k), ",", "").try_cast("double") for k in (1, 2, 3)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,12 +72,20 @@ def paced(spark: SparkSession, per_second: int) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("id"), F.col("timestamp").alias("due"))
 
 
+def demo_walk(numbers: random.Random, target: float, n: int) -> list[float]:
+    """A mean-reverting walk of n points in bounds that ends on the target, which is held in the same bounds."""
+    start, pull, noise, low, high = 0.08, 0.12, 0.03, 0.02, 0.98
+    p, out = min(high - 0.01, max(low + 0.01, target + numbers.gauss(0.0, start))), []
+    for _ in range(n - 1):
+        p = min(high, max(low, p + pull * (target - p) + numbers.gauss(0.0, noise)))
+        out.append(round(p, 4))
+    return [*out, round(min(high, max(low, target)), 4)]
+
+
 def demo_series(spark: SparkSession, targets: dict[str, float], points: int = 48, seed: int = 7) -> DataFrame:
-    """Mean-reverting series that end on each market's target."""
-    rows = []
-    for n, (market, target) in enumerate(sorted(targets.items())):
-        numbers, p = uniform(seed + n * 7919 + 1), 0.5
-        for k in range(points):
-            p = target if k == points - 1 else min(max(p + (target - p) * 0.15 + (next(numbers) - 0.5) * 0.06, LOW), HIGH)
+    """Hourly series for a demonstration of a few markets, the same ones for the same seed; all markets share one sequence of numbers."""
+    numbers, rows = random.Random(seed), []
+    for n, (market, target) in enumerate(targets.items()):
+        for k, p in enumerate(demo_walk(numbers, target, points)):
             rows.append((n * points + k, market, (START_MS + k * 3_600_000) * 1_000_000, p, None))
     return spark.createDataFrame(rows, "id bigint, market_id string, ts_ns bigint, probability double, volume_24h double")

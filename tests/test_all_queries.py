@@ -40,7 +40,8 @@ def dirty(spark, tmp_path_factory):
 
 
 NAMES = list(entry.queries())
-ALWAYS = {"r_s24_load", "r_a1_a5_report", "r_a3_reliability", "r_a7_latency", "r_a13_counts", "r_d13_a6_totals", "r_o8_featured"}
+ALWAYS = {"r_s24_load", "r_a1_a5_report", "r_a3_reliability", "r_a7_latency", "r_a13_counts", "r_d13_a6_totals", "r_o8_featured",
+          "r_s19_constraints", "r_s23_q7_reports", "r_a6_edges", "r_a9_total", "r_o12_pager"}
 
 
 @pytest.mark.parametrize("name", NAMES)

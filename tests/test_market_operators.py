@@ -4,12 +4,14 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brinewell.functions import domain as d
-from brinewell.operators import asof, backtest, calibration, constraints, replay, serving, similarity, sinks
-from brinewell.sources import configs, frames, markets, synthetic
+from brinewell.operators import archive, asof, backtest, calibration, constraints, matches, replay, serving, similarity, sinks
+from brinewell.schemas import BETS
+from brinewell.sources import configs, frames, markets, pages, synthetic
 
 c = F.col
 
@@ -258,14 +260,15 @@ def test_synthetic(spark):
     assert rows == list(synthetic.sequence(200, 4, 42)) and rows != list(synthetic.sequence(200, 4, 43))
     assert all(0.01 <= r[4] <= 0.99 and 10 <= r[5] < 100 for r in rows) and [r[1] for r in rows[:5]] == [f"synthetic-market-{k}" for k in (0, 1, 2, 3, 0)]
     assert synthetic.load(spark, 30, 5).groupBy("market_id").count().where("count = 30").count() == 5
-    assert synthetic.demo_series(spark, {"a": 0.9}, 10).orderBy(c("ts_ns").desc()).first().probability == 0.9
+    made = [synthetic.demo_series(spark, {"a": 0.9, "b": 0.01}, 10).orderBy("id").collect() for _ in range(2)]
+    assert made[0] == made[1] and (made[0][9].probability, made[0][19].probability) == (0.9, 0.02) and all(0.02 <= r.probability <= 0.98 for r in made[0])
 
 
 def test_reports(spark, tmp_path):
-    (tmp_path / "latency-v1.md").write_text("# x\n300,000 events in 4.25 s at 70,586 events/s")
+    (tmp_path / "latency-v1.md").write_text("# x\n| unpaced throughput | 70,586 ev/s | 110,297 ev/s | 194,444 ev/s |\n")
     (tmp_path / "other.md").write_text("y")
     r = configs.read_reports(spark, str(tmp_path), "latency").select("name", *configs.throughput(c("text"))).collect()
-    assert [tuple(x) for x in r] == [("latency-v1.md", 300000.0, 4.25, 70586.0)]
+    assert [tuple(x) for x in r] == [("latency-v1.md", 70586.0, 110297.0, 194444.0)]
 
 
 # scalar functions ------------------------------------------------------------------------------------------------------------
@@ -299,7 +302,127 @@ def test_times(spark):
 
 def test_texts(spark):
     r = one(spark, a=d.percent(F.lit(0.256)), b=d.percent(F.lit(None).cast("double")), e=d.signed_points(F.lit(-0.034)), f=d.ref_label(F.lit(None).cast("string"), F.lit("0xabcdef0123456789")), g=d.date_factor(F.lit(15.0)), h=d.date_factor(F.lit(None).cast("double")))
-    assert r.asDict() == {"a": "26%", "b": "—", "e": "-3.4 pp", "f": "0xabcd…6789", "g": 0.5, "h": 1.0}
+    assert r.asDict() == {"a": "25.6%", "b": "—", "e": "-3.4 pp", "f": "0xabcd…6789", "g": 0.5, "h": 1.0}
+
+
+def test_formats(spark):
+    rows = spark.createDataFrame([(0.0625, -0.0304, 1521417659999999999, "2026-09-20T23:30:00-02:00"), (None, None, None, None), (float("nan"), float("nan"), 0, ""), (1.0, 0.0, 1, "soon")], "p double, e double, t bigint, i string")
+    got = [tuple(r) for r in rows.select(d.percent(c("p")), d.signed_points(c("e")), d.signed_value(c("e")), d.minute_text(c("t")), d.date_text(c("i"))).collect()]
+    dash = d.DASH
+    assert got == [("6.3%", "-3.0 pp", "-0.030", "2018-03-19 00:00 UTC", "Sep 21, 2026"), (dash,) * 5, (dash, dash, dash, "1970-01-01 00:00 UTC", dash), ("100.0%", "+0.0 pp", "+0.000", "1970-01-01 00:00 UTC", "soon")]
+    spans = spark.createDataFrame([(0.4, 1.2), (0.6, 0.2), (None, 0.1), (0.5, 0.5)], "a double, b double")
+    assert [tuple(r) for r in spans.select(*d.edge_span(c("a"), c("b"))).collect()] == [(0.4, 1.0, True), (0.2, 0.6, False), (None, None, None), (0.5, 0.5, True)]
+
+
+# pages, matches, passes ------------------------------------------------------------------------------------------------------
+
+
+def test_page_files(spark, tmp_path):
+    every = [[{"id": f"{p}-{k}", "volume": float(k)} for k in range(n)] for p, n in ((1, pages.PAGE), (2, 3), (3, 9))]
+    assert pages.land_pages(iter(every), str(tmp_path / "p")) == 2  # a short page is the last one
+    (tmp_path / "p/page-000009.json").write_text("{broken")
+    rows = pages.read_pages(spark, str(tmp_path / "p"), "id string, volume double, other int")
+    assert rows.count() == pages.PAGE + 3 and rows.where("id is null").count() == 0
+    assert [r.id for r in pages.scan(rows, c("id").startswith("2"), [c("volume").desc()], 2).collect()] == ["2-2", "2-1"]
+    raw = spark.createDataFrame([("a", "Will X win?", "BINARY", ["t"], False, 5.0), ("b", "will y WIN", "BINARY", ["u"], None, 9.0), ("c", "win", "MULTI", ["t"], False, 99.0), ("d", "win", "BINARY", ["t"], True, 7.0)],
+                                "id string, question string, outcomeType string, groupSlugs array<string>, isResolved boolean, totalLiquidity double")
+    found = lambda **k: [r.id for r in pages.search(raw, **k).collect()]
+    assert found(term="win") == ["b", "a"] and found(term="WIN", topic="t", state="all") == ["d", "a"] and found(state="resolved") == ["d"] and found(limit=1) == ["b"]
+    assert [r.id for r in pages.liquid(raw.withColumnRenamed("totalLiquidity", "liquidity"), 7.0).collect()] == ["b", "c", "d"]
+    old = spark.createDataFrame([(k, "m", k, 0.5 if k else None) for k in range(2500)], "id bigint, market_id string, ts_ns bigint, prob_after double")
+    assert pages.newest_bets(old, 2000).agg(F.min("id"), F.count("*")).first() == (500, 2000) and pages.newest_bets(old, 3000).count() == 2499
+
+
+def test_known_matches(spark):
+    known = spark.createDataFrame([(5, "a", "polymarket", "x", 0.5, "pending"), (3, "a", "polymarket", "x", 0.9, "rejected"), (4, "b", "polymarket", "y", None, "confirmed")], "id bigint, manifold_market_id string, platform string, external_market_id string, confidence double, status string")  # noqa: E501
+    assert sorted((r.id, r.status) for r in matches.oldest(known).collect()) == [(3, "rejected"), (4, "confirmed")]
+    assert [r.id for r in matches.by_status(known, "pending").collect()] == [5] and matches.by_id(known, 9).count() == 0 and matches.by_id(known, 4).count() == 1
+    new = spark.createDataFrame([("a", "x"), ("c", "z"), ("c", "z")], "manifold_market_id string, external_market_id string")
+    assert [tuple(r) for r in matches.loaded(new, known).select("manifold_market_id", "status").collect()] == [("c", "confirmed")]
+
+
+def test_export_in_passes(spark, tmp_path):
+    day = 86_400 * 10**9
+    rows = lambda *ids: {"t": spark.createDataFrame([(k, k * day // 2) for k in ids], "id bigint, ts_ns bigint")}
+    path = str(tmp_path / "x")
+    assert archive.export_new(rows(1, 2, 3), path) == {"t": 3} and archive.export_new(rows(1, 2, 3, 4, 5), path) == {"t": 5} and archive.export_new(rows(1, 5), path) == {"t": 5}
+    got = archive.exported(spark, path, "t").select("id", c("dt").cast("string").alias("dt")).collect()
+    assert sorted(map(tuple, got)) == [(1, "1970-01-01"), (2, "1970-01-02"), (3, "1970-01-02"), (4, "1970-01-03"), (5, "1970-01-03")]
+
+
+def test_loop_goes_on_after_an_error():
+    seen, waits = [], []
+
+    def action():
+        seen.append(1)
+        if len(seen) == 2:
+            raise OSError
+
+    assert archive.repeated(action, 3600.0, most=4, errors=(OSError,), wait=waits.append) == 4 and len(seen) == 4 and waits == [3600.0] * 3
+
+
+def test_backfill(spark):
+    known = {
+        "markets": spark.createDataFrame([("a", "x", "old", "", None, None), ("b", "x", "kept", "", 1, None)], "market_id string, platform string, question_text string, close_time string, resolved_outcome int, category string"),
+        "bets": spark.createDataFrame([(1, "a", 1, 0.1, 0.2, 1.0, 1.0, 0), (2, "b", 1, 0.1, 0.2, 1.0, 1.0, 0)], BETS),
+        "probability_snapshots": spark.createDataFrame([(1, "a", 1, 0.2, None), (2, "b", 1, 0.2, None)], "id bigint, market_id string, ts_ns bigint, probability double, volume_24h double"),
+        "feature_snapshots": spark.createDataFrame([(1, "a", 1, 0.0, 0.0, 0.0), (2, "b", 1, 0.0, 0.0, 0.0)], "id bigint, market_id string, ts_ns bigint, prob_velocity double, bet_arrival_rate double, realized_vol double"),
+    }
+    given = spark.createDataFrame([("a", "new", "", None, "Tech", 0.7), ("b", "bad", "", None, "Tech", 1.7), ("c", "first", "", None, "Tech", 0.5)], "market_id string, question_text string, close_time string, resolved_outcome int, category string, probability double")
+    fresh = spark.createDataFrame([(10, "a", 5, 0.3, 0.4, 1.0, 1.0, 0), (11, "a", 5, 0.4, 0.6, 1.0, 1.0, 0), (12, "b", 5, 0.4, 0.6, 1.0, 1.0, 0)], BETS)
+    got = archive.backfill(known, given, fresh, now_ns=100, points=2)
+    assert sorted((r.market_id, r.question_text, r.category) for r in got["markets"].collect()) == [("a", "new", "Tech"), ("b", "kept", None), ("c", "first", "Tech")]
+    assert sorted(r.id for r in got["bets"].collect()) == [2, 10, 11]
+    assert sorted((r.market_id, r.ts_ns, r.probability) for r in got["probability_snapshots"].collect()) == [("a", 5, 0.6), ("a", 100, 0.7), ("b", 1, 0.2), ("c", 100, 0.5)]
+    assert sorted((r.market_id, r.ts_ns) for r in got["feature_snapshots"].collect()) == [("a", 100), ("b", 1), ("c", 100)]
+
+
+def test_totals_with_edges(spark):
+    trades = spark.createDataFrame([(100.0, 100.0, 50.0, 0.1), (50.0, 52.0, -52.0, 0.2)], "stake double, cost double, pnl double, theoretical_edge double")
+    r = backtest.totals(trades).first()
+    assert (r.n, r.wins, r.stake, r.payout, r.theoretical_pnl) == (2, 1, 150.0, 150.0, 20.0) and r.realized_edge == pytest.approx(-2 / 150) and r.theoretical_edge == pytest.approx(20 / 150)
+    text = serving.backtest_markdown(r.asDict(), "T", "note", "2018")
+    assert "| Realized edge (P&L / stake) | -0.0133 |" in text and "| **Realized P&L** | **-2.00** |" in text and "| Hit rate | 50.0% |" in text
+
+
+def test_reports_of_scores_and_latencies(spark):
+    rows = spark.createDataFrame([("m", 1, 0.8), ("n", 0, 0.2), ("n", 1, 0.25)], "market_id string, y int, p double")
+    report, curve = calibration.report(rows).first().asDict(), [r.asDict() for r in calibration.reliability(rows).collect()]
+    text = serving.calibration_markdown(report, curve, "T", "note")
+    assert "| [0.20, 0.30) | 2 | 0.2250 | 0.5000 |" in text and "[0.00" not in text and "Base rate (YES fraction): 0.6667" in text
+    assert "**Verdict:** the market price is better calibrated." in serving.live_markdown(report, report, "T")
+    r = serving.latency_report(spark.createDataFrame([(1500,), (2500,)], "w bigint"), "w").first().asDict()
+    assert "| a | 2 | 1.500 | 2.501 |" in serving.latency_markdown({"a": r}, "T", {"Events": 2})
+
+
+def test_injected_model_and_encoder(spark):
+    class Model:
+        def predict_proba(self, frame):
+            return np.column_stack([1 - frame["x"], frame["x"]])
+
+    rows = spark.createDataFrame([(0.25, "k"), (0.5, "k")], "x double, p_model string")
+    assert [r.score for r in calibration.predicted_by(rows, Model(), ("x",), "score").collect()] == [0.25, 0.5]
+    words = ["rain", "snow", "wind"]
+    encoder = lambda texts: np.array([[float(w in t) for w in words] for t in texts])
+    left = spark.createDataFrame([(1, "rain and wind", 0.0), (2, None, 0.0)], "id bigint, text string, day double")
+    right = spark.createDataFrame([(7, "wind and rain", 0.0), (8, "snow", 0.0), (9, "rain", 40.0), (10, None, 0.0)], "id bigint, text string, day double")
+    got = [(r.left_id, r.right_id, round(r.score, 4)) for r in similarity.ranked(similarity.match_texts(left, right, encoder, threshold=0.5)).collect()]
+    assert got == [(1, 7, 1.0), (1, 9, 0.5657)]
+
+
+def test_model_against_plain_newton(spark):
+    """The ridge of C = 1 on standardized columns: the same probabilities as Newton's method."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 2)) * [1.0, 5.0]
+    y = (r.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 0.2 * x[:, 1])))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(t)) for (a, b), t in zip(x, y)], "a double, b double, y double")
+    got = [row.p_model for row in calibration.BaselineModel(("a", "b")).fit(df).predict(df).collect()]
+    z = np.column_stack([np.ones(400), (x - x.mean(0)) / x.std(0)])
+    w, ridge = np.zeros(3), np.diag([0.0, 1.0, 1.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (p - y) + ridge @ w)
+    assert np.abs(np.array(got) - 1 / (1 + np.exp(-z @ w))).max() < 1e-4
 
 
 # serving and sinks -----------------------------------------------------------------------------------------------------------
