@@ -98,11 +98,15 @@ def backfill(known: dict[str, DataFrame], markets: DataFrame, bets: DataFrame, n
     )
     ids = good.select("market_id")
 
+    def shaped(new: DataFrame, old: DataFrame) -> DataFrame:
+        """Further columns of the old rows are null in the new ones."""
+        return new.select(*[c for c in old.columns if c in new.columns])
+
     def filled(name: str, new: DataFrame) -> DataFrame:
         old = known[name]
-        return old.join(ids, "market_id", "left_anti").unionByName(new.select(*old.columns))
+        return old.join(ids, "market_id", "left_anti").unionByName(shaped(new, old), allowMissingColumns=True)
 
     return {
-        "markets": replaced(known["markets"], rows.select(*known["markets"].columns), "market_id"), "bets": filled("bets", own),
+        "markets": replaced(known["markets"], shaped(rows, known["markets"]), "market_id"), "bets": filled("bets", own),
         "probability_snapshots": filled("probability_snapshots", series), "feature_snapshots": filled("feature_snapshots", features),
     }

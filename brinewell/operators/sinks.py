@@ -20,7 +20,7 @@ def placeholders(known: DataFrame, ids: DataFrame) -> DataFrame:
 
 def replaced(known: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """K7: known with the rows of new in place of those with the same key; of several new ones the last by all columns."""
-    both = known.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))
+    both = known.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)), allowMissingColumns=True)
     rest = [c for c in known.columns if c != key]
     newest = both.groupBy(key).agg(F.max(F.struct("__v", *rest)).alias("__newest"))
     return newest.select(key, *[F.col(f"__newest.{c}").alias(c) for c in rest]).select(*known.columns)
