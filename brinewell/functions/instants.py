@@ -72,6 +72,12 @@ def epoch_ns(value: Column) -> Column:
     return F.when(v != 0, F.try_multiply(v, scale.cast("bigint")))
 
 
+def roomy(ns: Column) -> Column:
+    """Whether an instant leaves room for sums of a few days before 64 bits overflow: it lies in 1677 to 2262, a week from the ends."""
+    room = 7 * 86_400 * NANOS
+    return ns.between(-(2**63) + room, 2**63 - 1 - room)
+
+
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     """Days since 1970-01-01 of a proleptic Gregorian date with a year of 0 or more, by integer arithmetic alone."""
     shifted = F.when(m <= 2, y - 1).otherwise(y)

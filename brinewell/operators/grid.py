@@ -7,7 +7,8 @@ Readings are ordered only inside their own cell, so that a hot source is spread
 chained by what each hands on: its last reading. Gaps become rows of their own.
 
 Defined results: a reading without source, time or a value within low..high is unusable; of readings at one instant the one with
-the greatest id holds; sources without a usable reading and empty tables give no rows; extra columns are ignored.
+the greatest id holds; times within a week of the ends of 64 bits are none; sources without a usable reading and empty tables give no
+rows; extra columns are ignored. A gap of any length is unfolded in stretches of STRETCH cells.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinewell.functions.instants import roomy
+
 SECOND = 1_000_000_000
+STRETCH = 4096
 
 
 def usable(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -32,7 +36,7 @@ def to_grid(
     """
     size, hold = cell_s * SECOND, hold_s * SECOND
     rows = df.select(F.col(source).alias("source"), F.col(time_ns).alias("t"), F.col(value).alias("v"), F.col(row_id).alias("id"))
-    rows = rows.where(F.col("source").isNotNull() & F.col("t").isNotNull() & usable(F.col("v"), low, high))
+    rows = rows.where(F.col("source").isNotNull() & roomy(F.col("t")) & usable(F.col("v"), low, high))
     rows = rows.withColumn("cell", F.expr(f"(t - pmod(t, {size})) div {size}"))
     inside = Window.partitionBy("source", "cell").orderBy("t", "id")
     upto = F.least(F.coalesce(F.lead("t").over(inside), (F.col("cell") + 1) * size), F.col("t") + hold)
@@ -50,8 +54,10 @@ def to_grid(
     )
     carried = F.greatest(F.lit(0.0), (F.least(F.col("first_t"), F.col("prev_t") + hold) - F.col("cell") * size).cast("double"))
     carried = F.when(F.col("prev_t").isNotNull(), carried).otherwise(0.0)
-    spread = cells.select("*", carried.alias("carried"), F.posexplode(F.sequence("cell", F.coalesce(F.col("next_cell") - 1, F.col("cell")))).alias("pos", "at"))
-    hole, own = F.col("pos") > 0, F.col("valid") + F.col("carried")
+    until = F.coalesce(F.col("next_cell") - 1, F.col("cell"))
+    parts = cells.select("*", carried.alias("carried"), F.explode(F.sequence("cell", until, F.lit(STRETCH).cast("bigint"))).alias("from_cell"))
+    spread = parts.select("*", F.explode(F.sequence("from_cell", F.least(F.col("from_cell") + STRETCH - 1, until))).alias("at"))
+    hole, own = F.col("at") > F.col("cell"), F.col("valid") + F.col("carried")
     held = F.greatest(F.lit(0.0), (F.least((F.col("at") + 1) * size, F.col("last_t") + hold) - F.col("at") * size).cast("double"))
     mean = (F.col("area") + F.coalesce(F.col("prev_v"), F.lit(0.0)) * F.col("carried")) / F.nullif(own, F.lit(0.0))
     every = spread.select(

@@ -11,7 +11,7 @@ takes the records, a stretch of one period at once; the partial of its root hold
 The tree is bounded by the cut-off, because whole subtrees leave it as the clock moves on. Partials of a period from several blocks add up
 in a last aggregation.
 
-Defined results: rows with a null key, row id or event time take no part; copies count as often as they occur; records of equal
+Defined results: rows with a null key, row id or event time, or a time within a week of the ends of 64 bits, take no part; copies count as often as they occur; records of equal
 time are taken in arrival order; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinewell.functions.instants import roomy
 from brinewell.operators.fingertree import FingerTree
 
 HOUR_NS = 3_600_000_000_000
@@ -38,7 +39,7 @@ def records(origin: str, df: DataFrame, key: Column, row_id: Column, bet_pos: Co
         F.lit(origin).alias("origin"), key.cast("string").alias("key"), row_id.cast("bigint").alias("row_id"),
         bet_pos.cast("int").alias("bet_pos"), time_ns.cast("bigint").alias("t"), value.cast("double").alias("value"),
     )
-    return out.where("key is not null and row_id is not null and t is not null")
+    return out.where(F.col("key").isNotNull() & F.col("row_id").isNotNull() & roomy(F.col("t")))
 
 
 def _merge(a: tuple, b: tuple) -> tuple:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewell.functions import domain as d
-from brinewell.functions.instants import epoch_ns
+from brinewell.functions.instants import epoch_ns, roomy
 from brinewell.operators import archive, asof, backtest, calibration, constraints, features, matches, replay, serving, similarity, sinks
 from brinewell.plans.ingest_queries import _INSTANT
 from brinewell.session import shared_dir
@@ -24,8 +24,8 @@ c = F.col
 
 
 def bets(s: SparkSession, at: str) -> DataFrame:
-    """Bets with their instant as ts_ns; those without one are left out."""
-    return table(s, at, "bets").withColumn("ts_ns", epoch_ns(c("ts_ns"))).where("ts_ns is not null")
+    """Bets with their instant as ts_ns; those without one, or with one within a week of the ends of 64 bits, are left out."""
+    return table(s, at, "bets").withColumn("ts_ns", epoch_ns(c("ts_ns"))).where(roomy(c("ts_ns")))
 
 
 def prices(s: SparkSession, at: str) -> DataFrame:

@@ -31,6 +31,11 @@ def test_ties_and_edges(spark):
     assert cells(spark, []) == {}
 
 
+def test_far_times(spark):
+    got = cells(spark, [(1, "a", 0, 0.5), (2, "a", 9000 * 3600 * S, 0.6), (3, "a", 2**63 - 1, 0.7), (4, "a", -(2**63), 0.7)])
+    assert len(got) == 9001 and sum(x.n_readings for x in got.values()) == 2
+
+
 def store(spark, rows, batches=1, **kw):
     s = RunStore(spark, ["k", "x"], ["id", "pos"], required=["k"], buckets=3)
     for b in range(batches):
