@@ -8,7 +8,7 @@ A hot entity is spread over its time slots. A right record goes to its own slot;
 reaches into, and the nearer of its finds is kept.
 
 Defined results: of equally near right records the earlier counts, then the one with the smaller id; the tolerance is inclusive; records
-with a null entity or time pair with nothing; left records without a partner are left out; repeated left rows with one id give one row.
+with a null entity or time, or a time within a week of the ends of 64 bits, pair with nothing; left records without a partner are left out; repeated left rows with one id give one row.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brinewell.functions.instants import roomy
+
 SLOT_NS = 3_600_000_000_000
 PAIRS = "left_id bigint, kind string, right_id bigint, distance_ns bigint, right_time bigint"
 
@@ -80,7 +82,7 @@ def _packed(rows: list[tuple[int, str, int, int, int]]) -> pa.RecordBatch:
 def records(df: DataFrame, entity: Column, time_ns: Column, row_id: Column, kind: str = "") -> DataFrame:
     """df in the form that nearest() reads; kind names the table where several are searched at once."""
     out = df.select(entity.cast("string").alias("entity"), F.lit(kind).alias("kind"), time_ns.cast("bigint").alias("t"), row_id.cast("bigint").alias("id"))
-    return out.where("entity is not null and t is not null and id is not null")
+    return out.where(F.col("entity").isNotNull() & roomy(F.col("t")) & F.col("id").isNotNull())
 
 
 def nearest(left: DataFrame, right: DataFrame, tolerance_ns: int, kinds: tuple[str, ...] = ("",), slot_ns: int = SLOT_NS) -> DataFrame:
