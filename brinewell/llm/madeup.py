@@ -74,6 +74,8 @@ Signed-off-by: {name} <{email}>
 {d1}\\t{name}\\t{phone}
 {d1}     {phone}     {address}
 {d1}   {identity}   {email}
+{d1}   {email}   {identity}
+{email};{identity};{d2}
 | {name} | {phone} | {address} |
 | {name} | {identity} |
 | {identity} | {name} | {d2} |

@@ -67,10 +67,10 @@ ADDRESSES = (
     ([f"{w} " for w in _RUES], re.compile(rf"\d{_BEFORE}\d{{0,3}}(?: (?:bis|ter))?,? (?:{'|'.join(_RUES)})(?: (?:de|du|des|la|le|les))*(?: {_CAPS})+(?!\w)")),
     ([f"{w} " for w in _CALLES], re.compile(rf"[{''.join({w[0] for w in _CALLES})}]{_BEFORE}(?:{'|'.join(f'(?<={w[0]}){re.escape(w[1:])}' for w in _CALLES)})(?: (?:de|del|della|dei|di|la|las|los|da|do))*(?: {_CAPS})+,? \d{{1,4}}[a-z]?(?!\w)")),
     ([f"{w} " for w in _WEGE], re.compile(rf"{_HEAD}{_BEFORE}[\w\u00df]*(?:{'|'.join(map(re.escape, _WEGE))}) \d{{1,4}}[a-z]?(?!\w)")),
-    ([f"{w} " for w in _IM], re.compile(rf"[{''.join({w[0] for w in _IM})}]{_BEFORE}(?:{'|'.join(f'(?<={w[0]}){w[1:]}' for w in _IM)})(?: (?:der|den|dem|die|das|alten|neuen))* {_CAPS} \d{{1,3}}[a-z]?(?!\w)")),
+    ([f"{w} " for w in _IM], re.compile(rf"[{''.join({w[0] for w in _IM})}]{_BEFORE}(?:{'|'.join(f'(?<={w[0]}){w[1:]}' for w in _IM)})(?: (?:der|den|dem|die|das|alten|neuen))*(?: {_CAPS}){{1,2}} \d{{1,3}}[a-z]?(?!\w)")),
 )
 _DOTTED = re.compile(r"(?:St|Ave|Rd|Ln|Dr|Ct|Pl|Blvd)\Z")
-NAME = re.compile(rf"{_HEAD}(?<![\w@.-].)(?<!\w['\u2019].)(?=({_REST} (?:[A-Z]\. )?{_PARTICLES}{_SUR}|{_REST}(?:-{_CAP})?, {_CAP}(?: [A-Z]\.(?!\w))?)(?![\w@]))")
+NAME = re.compile(rf"{_HEAD}(?<![\w@.-].)(?<!\w['\u2019].)(?=({_REST}(?:-{_CAP})? (?:[A-Z]\. )?{_PARTICLES}{_SUR}|{_REST}(?:-{_CAP})?, {_CAP}(?: [A-Z]\.(?!\w))?)(?![\w@]))")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]*")
 ENCODED = 40  # signs of base64 without a break; a number inside them is a part of encoded data

@@ -108,7 +108,7 @@ class SkipChain:
         self.names, self.weights = names, weights
 
     @classmethod
-    def train(cls, documents: list[list[Mention]], meant: list[list[bool]], steps: int = 80, rate: float = 1.0, decay: float = 0.004) -> SkipChain:
+    def train(cls, documents: list[list[Mention]], meant: list[list[bool]], steps: int = 80, rate: float = 1.0, decay: float = 0.002) -> SkipChain:
         names: dict[str, int] = {}
         g = Graph(documents, names, grow=True)
         y = np.array([t for d in meant for t in d], float)
