@@ -9,6 +9,8 @@ import re
 import unicodedata
 from typing import NamedTuple
 
+import ahocorasick
+
 # Common given names of many countries, a clue among others.
 GIVEN = frozenset(
     """james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen daniel nancy matthew lisa
@@ -69,6 +71,11 @@ ADDRESSES = (
     ([f"{w} " for w in _WEGE], re.compile(rf"{_HEAD}{_BEFORE}[\w\u00df]*(?:{'|'.join(map(re.escape, _WEGE))}) \d{{1,4}}[a-z]?(?!\w)")),
     ([f"{w} " for w in _IM], re.compile(rf"[{''.join({w[0] for w in _IM})}]{_BEFORE}(?:{'|'.join(f'(?<={w[0]}){w[1:]}' for w in _IM)})(?: (?:der|den|dem|die|das|alten|neuen))*(?: {_CAPS}){{1,2}} \d{{1,3}}[a-z]?(?!\w)")),
 )
+# All of these words at once: which forms can occur in a text.
+_ROAD_WORDS = ahocorasick.Automaton()
+for _word in sorted({g for gates, _ in ADDRESSES for g in gates}):
+    _ROAD_WORDS.add_word(_word, tuple(k for k, (gates, _) in enumerate(ADDRESSES) if _word in gates))
+_ROAD_WORDS.make_automaton()
 _DOTTED = re.compile(r"(?:St|Ave|Rd|Ln|Dr|Ct|Pl|Blvd)\Z")
 NAME = re.compile(rf"{_HEAD}(?<![\w@.-].)(?<!\w['\u2019].)(?=({_REST}(?:-{_CAP})? (?:[A-Z]\. )?{_PARTICLES}{_SUR}|{_REST}(?:-{_CAP})?, {_CAP}(?: [A-Z]\.(?!\w))?)(?![\w@]))")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -173,10 +180,8 @@ def mentions(text: str) -> list[Mention]:
         if _encoded(plain, m.start(), m.end()):
             continue
         add("identity", m.start(), m.end(), [f"shape={_shape(m[0].replace(' ', '_'))}"], [re.sub(r"\W", "", m[0])])
-    for form, (gates, pattern) in enumerate(ADDRESSES):
-        if not any(g in plain for g in gates):
-            continue
-        for m in pattern.finditer(plain):
+    for form in sorted({form for _, forms in _ROAD_WORDS.iter(plain) for form in forms}):
+        for m in ADDRESSES[form][1].finditer(plain):
             end, v = m.end(), m[0]
             if _DOTTED.search(v) and plain[end : end + 1] == ".":
                 # The dot is the abbreviation's unless a sentence ends with it.
