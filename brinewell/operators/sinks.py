@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from brinewell.functions.domain import ns_to_date
 from brinewell.operators.similarity import not_yet_known
+from brinewell.session import file_system
+
+MARKS = "_batches"
 
 
 def placeholders(known: DataFrame, ids: DataFrame) -> DataFrame:
@@ -51,7 +54,7 @@ def replace_kind(df: DataFrame, path: str, column: str = "type") -> None:
 def write_four(batch: DataFrame, batch_id: int, path: str, dry_run: bool = False) -> None:
     """K1, K2: a batch of feature-bearing bets to its four tables, each under its batch id, so that a repeated batch replaces itself.
 
-    Each table is atomic by itself; a reader takes the batch ids that all four have.
+    The batch counts once its mark is there, which is made after all four are whole; committed() reads no other batches.
     """
     if dry_run:
         batch.write.format("noop").mode("overwrite").save()
@@ -66,6 +69,17 @@ def write_four(batch: DataFrame, batch_id: int, path: str, dry_run: bool = False
     for name, df in parts.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
     batch.unpersist()
+    fs, mark = file_system(batch.sparkSession, f"{path}/{MARKS}/batch={batch_id}")
+    fs.create(mark, True).close()
+
+
+def committed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of the four tables: the rows of the batches whose four tables are whole."""
+    fs, marks = file_system(spark, f"{path}/{MARKS}")
+    done = [f.getPath().getName() for f in fs.listStatus(marks)] if fs.exists(marks) else []
+    if not done:
+        raise ValueError("no batch is whole")
+    return spark.read.option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/{b}" for b in sorted(done)]).drop("batch")
 
 
 def poll(prices: DataFrame, polled_at: str) -> DataFrame:

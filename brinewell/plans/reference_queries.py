@@ -99,7 +99,7 @@ def r_s5_s6_domain_bets(s, at):
 
 
 def r_s9_complete_bets(s, at):
-    return frames.complete_bets(r_s5_s6_domain_bets(s, at))
+    return frames.in_time_order(frames.complete_bets(r_s5_s6_domain_bets(s, at)), "line_no", "bet_pos")
 
 
 def r_s11_first_seen(s, at):
@@ -123,6 +123,12 @@ def r_s12_s13_manifold(s, at):
     return rows.select("market_id", "question_text", "probability", "is_resolved", "resolved_outcome", "category")
 
 
+def r_s8_market(s, at):
+    """The first usable market, asked for by its id."""
+    first = table(s, at, "markets").where("platform = 'manifold'").join(newest_prices(s, at), "market_id", "left_semi").agg(F.min("market_id")).first()[0] or ""
+    return markets.market_by_id(_raw_manifold(s, at), first).select("market_id", "question_text", "probability", "is_resolved")
+
+
 def r_s14_s16_polymarket(s, at):
     return markets.normalize_polymarket(table(s, at, "polymarket_markets"))
 
@@ -632,7 +638,7 @@ def r_k1_four_tables(s, at):
     for _ in range(2):  # a batch that comes again replaces itself
         sinks.write_four(batch, 7, path)
     names = ("markets", "bets", "probability_snapshots", "feature_snapshots")
-    parts = [s.read.parquet(f"{path}/{n}/batch=7").groupBy("market_id").agg(F.count("*").alias("n")).select(F.lit(n).alias("table"), "market_id", "n") for n in names]
+    parts = [sinks.committed(s, path, n).groupBy("market_id").agg(F.count("*").alias("n")).select(F.lit(n).alias("table"), "market_id", "n") for n in names]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 

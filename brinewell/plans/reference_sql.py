@@ -301,6 +301,8 @@ select start_ms, n, cast(sum(n) over (order by start_ms) as bigint) as total, ca
     "r_w12_marks": """select id, cast(5 as bigint) as a_b, case when id % 3 <> 0 then cast(4 as bigint) end as b_z, case when id % 3 = 0 then cast(3 as bigint) else 9 end as a_z, id % 3 <> 0 as in_order from bets where ts_ns is not null""",
     "r_u_predict_proba": """select id, market_id, cast(floor(1 / (1 + exp(-(coalesce(nullif(bet_arrival_rate, 'nan'), 0.0) - 2 * coalesce(nullif(prob_velocity, 'nan'), 0.0) - 0.25))) * 1e6 + 0.5) as bigint) as p_e6 from feature_snapshots""",
 }
+SQL["r_s8_market"] = _w(_P, _N) + """select market_id, trim(question_text, ' ') as question_text, probability, resolved_outcome is not null as is_resolved from markets join n using (market_id)
+where market_id = (select min(market_id) from markets join n using (market_id) where platform = 'manifold')"""
 _LETTERS = "[cast(length(q) - length(replace(q, x, '')) as double) for x in split('abcdefghijklmnopqrstuvwxyz', '')]"
 SQL["r_u_encoder"] = f"""with l as (select cast('0x' || substr(md5(market_id), 1, 15) as bigint) as id, lower(question_text) as q from markets),
 r as (select lower(question) as q from (select distinct question from polymarket_markets where question is not null)),

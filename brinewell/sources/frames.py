@@ -33,3 +33,8 @@ def complete_bets(df: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     some = df.where("ts_ns is not null and prob_before is not null and prob_after is not null")
     return some.withColumn("amount", F.coalesce("amount", zero)).withColumn("shares", F.coalesce("shares", zero))
+
+
+def in_time_order(df: DataFrame, *arrival: str) -> DataFrame:
+    """By time, bets of one time in order of arrival."""
+    return df.orderBy("ts_ns", *arrival)

@@ -1,4 +1,4 @@
-"""Markets of either venue in one shape."""
+"""Markets of either venue in one shape."""
 
 from __future__ import annotations
 
@@ -19,6 +19,11 @@ def normalize_manifold(raw: DataFrame) -> DataFrame:
     )
 
 
+def market_by_id(raw: DataFrame, market_id: str) -> DataFrame:
+    """One usable binary market of raw records; an empty frame stands for none. The id is asked of the source."""
+    return normalize_manifold(raw.where(F.col("id") == market_id))
+
+
 def binary_probability(outcomes: Column, prices: Column) -> Column:
     """Of JSON lists of two outcomes and two prices the price of the first 'yes', else of the first outcome; null otherwise."""
     names, values = F.from_json(outcomes, "array<string>"), F.from_json(prices, "array<string>")

@@ -1,11 +1,13 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from brinewell.operators import features
+from brinewell.operators import features, sinks
 from brinewell.schemas import BETS
+from brinewell.sources import synthetic
 from brinewell.streaming import features as live
 
 S = 10**9
@@ -76,3 +78,24 @@ def test_backoff():
 def test_hourly_needs_no_batch_operator(spark):
     stream = spark.readStream.format("rate").load().selectExpr("value as id", "'m' as market_id", "value * 1000000000 as ts_ns", "0.5 as prob_after")
     assert live.hourly(stream).isStreaming and "window" in live.hourly(stream).columns and F is not None
+
+
+def test_a_batch_counts_when_its_four_tables_are_whole(spark, tmp_path):
+    batch = spark.createDataFrame([(1, "m", 5, 0.1, 0.2, 1.0, 1.0, 0, 0.0, 0.0, 0.0)], BETS + ", prob_velocity double, bet_arrival_rate double, realized_vol double")
+    path = str(tmp_path / "four")
+    with pytest.raises(ValueError):
+        sinks.committed(spark, path, "bets")
+    for n in (1, 1, 2):
+        sinks.write_four(batch, n, path)
+    (tmp_path / "four/_batches/batch=2").unlink()  # as if the pass had broken off before the mark
+    assert [sinks.committed(spark, path, t).count() for t in ("markets", "bets", "probability_snapshots", "feature_snapshots")] == [1, 1, 1, 1]
+
+
+def test_paced_rows(spark):
+    q = synthetic.paced(spark, 50).writeStream.format("memory").queryName("paced").start()
+    deadline = time.time() + 60
+    while time.time() < deadline and (not spark.catalog.tableExists("paced") or spark.table("paced").count() < 50):
+        time.sleep(0.5)
+    q.stop()
+    ids = sorted(r.id for r in spark.table("paced").collect())
+    assert len(ids) >= 50 and ids == list(range(len(ids)))
