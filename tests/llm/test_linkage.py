@@ -137,6 +137,26 @@ def test_rounds_raise_a_pair_that_no_block_made(spark):
     assert link(rows, note).count() == 2 and note["raised"] == 1 and note["lowered"] == 0
 
 
+def test_one_question_in_many_spellings(spark):
+    """A hot question whose rows have up to two slips each: what the attributes alone leave apart, the rounds bring together."""
+    r = random.Random(1)
+
+    def written(text):
+        w = text.split()
+        for _ in range(r.choice((0, 0, 1, 1, 2))):
+            k = r.randrange(len(w))
+            if len(x := w[k]) > 4:
+                i = r.randrange(1, len(x) - 1)
+                w[k] = r.choice((x[:i] + x[i + 1 :], x[:i] + x[i] + x[i:], x[:i] + x[i + 1] + x[i] + x[i + 2 :]))
+        return " ".join(w)
+
+    left = [(f"p{k}", written("Will Rimorenoka win the Amber Cup"), 100 + r.randrange(3)) for k in range(150)]
+    right = [(f"m{k}", written("Amber Cup winner Rimorenoka"), 100 + r.randrange(3)) for k in range(150)]
+    note = {}
+    assert link(frame(spark, left, right), note).count() > 0.95 * 150 * 150
+    assert note["raised"] > note["lowered"] and note["raised"] > 0.3 * note["alike"]
+
+
 def test_candidates_grow_with_the_rows(spark):
     """One event asks for ever more names: the event's words are in every question, but nobody asks by them."""
     r = random.Random(3)
