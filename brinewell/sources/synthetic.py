@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -72,14 +73,16 @@ def paced(spark: SparkSession, per_second: int) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("id"), F.col("timestamp").alias("due"))
 
 
+# Fixed values of the demonstration: bounds of its prices, spread of the start and of a step, share of the gap to the target that a step closes.
+DEMO_LOW, DEMO_HIGH, DEMO_START, DEMO_STEP, DEMO_PULL = 0.02, 0.98, 0.08, 0.03, 0.12
+
+
 def demo_walk(numbers: random.Random, target: float, n: int) -> list[float]:
-    """A mean-reverting walk of n points in bounds that ends on the target, which is held in the same bounds."""
-    start, pull, noise, low, high = 0.08, 0.12, 0.03, 0.02, 0.98
-    p, out = min(high - 0.01, max(low + 0.01, target + numbers.gauss(0.0, start))), []
-    for _ in range(n - 1):
-        p = min(high, max(low, p + pull * (target - p) + numbers.gauss(0.0, noise)))
-        out.append(round(p, 4))
-    return [*out, round(min(high, max(low, target)), 4)]
+    """N prices that start near the target, are drawn to it and end on it, all in bounds and of four digits."""
+    held = lambda p: sorted((DEMO_LOW, p, DEMO_HIGH))[1]
+    steps = [numbers.gauss(0.0, DEMO_START), *(numbers.gauss(0.0, DEMO_STEP) for _ in range(n - 1))]
+    walk = accumulate(steps[1:], lambda p, noise: held(p + DEMO_PULL * (target - p) + noise), initial=held(target + steps[0]))
+    return [round(p, 4) for p in islice(walk, 1, n)] + [round(held(target), 4)]
 
 
 def demo_series(spark: SparkSession, targets: dict[str, float], points: int = 48, seed: int = 7) -> DataFrame:
